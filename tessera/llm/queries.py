@@ -5,15 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, scratch
 from .shard import shard_by_size
+from .warc import read_archives, write_archives
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_sampled_splitters,)}
+def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    write_archives(read(spark, sf_dir, "pages"), path)
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]+)>', 1) as bigint)")
+    return read_archives(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).alias("refers_to")
+    )
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_sampled_splitters, op10_boundary_chain)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_boundary_chain": """
+        with p as (select page_id, sha1(coalesce(html, '')) as payload_digest, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
+        k as (select payload_digest, max(page_id) as keeper from p where payload_bytes >= 1000 group by all)
+        select page_id, payload_bytes, payload_digest, case when keeper <> page_id then 'revisit' else 'response' end as record_type,
+               case when keeper <> page_id then keeper end as refers_to
+        from p left join k using (payload_digest)""",
+}
