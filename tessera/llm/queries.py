@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch
+from .common import read, release, scratch
+from .fingerprint import edited_pairs, equal_classes
 from .shard import shard_by_size
 from .warc import read_archives, write_archives
 
 
+def op2_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = edited_pairs(docs)
+    release(spark)
+    classes = equal_classes(docs)
+    renamed = classes.where("fingerprint <> digest").select("doc_id", F.col("digest").alias("fingerprint"), F.col("fingerprint").alias("verified")).distinct()
+    named = pairs.join(renamed, ["doc_id", "fingerprint"], "left").withColumn("fingerprint", F.coalesce("verified", "fingerprint"))
+    named = named.join(classes.select("fingerprint", "class_id").distinct(), "fingerprint", "left")
+    same = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
+    return named.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"), "class_id",
+    )
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(read(spark, sf_dir, "documents"))
 
@@ -25,7 +41,7 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_sampled_splitters, op10_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op6_sampled_splitters, op10_boundary_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_boundary_chain": """
