@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read, release, scratch
 from .fingerprint import edited_pairs, equal_classes
 from .shard import shard_by_size
+from .toxicity import CUT, fit_chain, score
 from .warc import read_archives, write_archives
 
 
@@ -32,6 +33,17 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(read(spark, sf_dir, "documents"))
 
 
+#: The chain's categories over the columns of `labels`, in order.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit_chain(docs, read(spark, sf_dir, "labels"), CATEGORIES))
+    p = {c: F.col(f"toxicity.{c}") for c in CATEGORIES}
+    return scored.select("doc_id", *[v.alias(f"p_{c}") for c, v in p.items()], (p["toxic"] >= CUT).alias("rejected"))
+
+
 def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
@@ -41,7 +53,7 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op6_sampled_splitters, op10_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op6_sampled_splitters, op9_classifier_chain, op10_boundary_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_boundary_chain": """
