@@ -73,6 +73,7 @@ def equal_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     run = rows.repartition(parts(spark), "h", "salt").sortWithinPartitions("h", "salt", "k")
     kept = cut(run.mapInArrow(compared, f"k {kind}, h string, salt int, nth int, head binary"))
+    del rows, run
     release(spark)
     heads = kept.where("head is not null").select("h", "salt", "nth", "head")
     order = Window.partitionBy("h").orderBy("head")
@@ -143,6 +144,7 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     small = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(packed, f"k {kind}, h long, z binary")
     dealt = small.repartitionByRange(parts(spark), F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
     out = cut(dealt.mapInArrow(paired, result).withColumn("part", F.spark_partition_id()))
+    del small, dealt
     release(spark)
     firsts = out.where("end = 1")
     line = Window.orderBy("part")  # a row for each range
