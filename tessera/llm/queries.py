@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, release, scratch
+from .common import cut, read, release, scratch
 from .fingerprint import edited_pairs, equal_classes
+from .huffman import read_ids, write_ids
+from .packing import pack
 from .shard import shard_by_size
+from .tokens import token_rows
 from .toxicity import CUT, fit_chain, score
 from .warc import read_archives, write_archives
 
@@ -29,6 +33,19 @@ def op2_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), leading=True, end=1, keep=["doc_id", "source"]))
+
+
+def op5_canonical_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = scratch(spark, "ids")
+    write_ids(cut(token_rows(docs, public_tokenizers.path("word_bpe_49k.json"), leading=False, end=2, keep=["doc_id"])), path)
+    release(spark)
+    return read_ids(spark, path)
+
+
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(read(spark, sf_dir, "documents"))
 
@@ -53,7 +70,7 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op6_sampled_splitters, op9_classifier_chain, op10_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op3_deficit_round_robin, op5_canonical_huffman, op6_sampled_splitters, op9_classifier_chain, op10_boundary_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_boundary_chain": """
