@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read, release, scratch
+from .decontaminate import mark
 from .fingerprint import edited_pairs, equal_classes
 from .huffman import read_ids, write_ids
 from .packing import pack
@@ -38,6 +39,15 @@ def op3_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), leading=True, end=1, keep=["doc_id", "source"]))
 
 
+def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mark(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("leak.words", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    return found.select(
+        "doc_id", F.col("leak.n_words").alias("n_words"), hit.alias("n_hit"), F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leak.items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 def op5_canonical_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch(spark, "ids")
@@ -70,7 +80,7 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op3_deficit_round_robin, op5_canonical_huffman, op6_sampled_splitters, op9_classifier_chain, op10_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op3_deficit_round_robin, op4_suffix_automaton, op5_canonical_huffman, op6_sampled_splitters, op9_classifier_chain, op10_boundary_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_boundary_chain": """
