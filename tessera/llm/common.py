@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time (a longer document is handled alone).
 SLICE_BYTES = 1 << 21
@@ -151,19 +150,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return run_hash(prefix_hash(BYTE_UNITS[data]), starts, ends)
+#: Words hashed at a time, so that a very long text needs no more memory than a slice of short ones.
+WORD_RUN = 1 << 17
+
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), WORD_RUN):
+        a, b = starts[i : i + WORD_RUN], ends[i : i + WORD_RUN]
+        lo = a[0]
+        out[i : i + WORD_RUN] = run_hash(prefix_hash(BYTE_UNITS[data[lo : b[-1]]]), a - lo, b - lo)
+    return out
 
-def ranked(df: DataFrame, order: list[str], counted: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """df dealt by ranges of `order`, sorted, with _part; and the totals of rows (and of `counted`) before each part.
 
-    The frame is checkpointed; the second frame has a row for each partition, so its size does not follow the rows."""
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    kept = cut(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    sums = [F.count("*").alias("_n")] + ([F.sum(counted).alias("_sum")] if counted else [])
-    return kept, kept.groupBy("_part").agg(*sums)
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -14,11 +14,17 @@ from .fingerprint import edited_pairs, equal_classes
 from .huffman import read_ids, write_ids
 from .packing import pack
 from .shard import shard_by_size
+from .substrings import repeated_bytes, repeated_words, without_bytes, without_words
 from .tokens import token_rows
 from .toxicity import CUT, fit_chain, score
 from .warc import read_archives, write_archives
 
 
+def op1_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_words(docs, repeated_words(docs), digest=True)
+
+
 def op2_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = edited_pairs(docs)
@@ -60,6 +66,11 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_size(read(spark, sf_dir, "documents"))
 
 
+def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_bytes(docs, repeated_bytes(docs), digest=True)
+
+
 #: The chain's categories over the columns of `labels`, in order.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -80,7 +91,7 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_digest, op3_deficit_round_robin, op4_suffix_automaton, op5_canonical_huffman, op6_sampled_splitters, op9_classifier_chain, op10_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint_runs, op2_exact_digest, op3_deficit_round_robin, op4_suffix_automaton, op5_canonical_huffman, op6_sampled_splitters, op7_prefix_free_parsing, op9_classifier_chain, op10_boundary_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_boundary_chain": """
