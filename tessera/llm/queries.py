@@ -12,6 +12,7 @@ from .common import cut, read, release, scratch
 from .decontaminate import mark
 from .fingerprint import edited_pairs, equal_classes
 from .huffman import read_ids, write_ids
+from .neardup import near_components
 from .packing import pack
 from .shard import shard_by_size
 from .substrings import repeated_bytes, repeated_words, without_bytes, without_words
@@ -71,6 +72,10 @@ def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_bytes(docs, repeated_bytes(docs), digest=True)
 
 
+def op8_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The chain's categories over the columns of `labels`, in order.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -91,7 +96,7 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint_runs, op2_exact_digest, op3_deficit_round_robin, op4_suffix_automaton, op5_canonical_huffman, op6_sampled_splitters, op7_prefix_free_parsing, op9_classifier_chain, op10_boundary_chain)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint_runs, op2_exact_digest, op3_deficit_round_robin, op4_suffix_automaton, op5_canonical_huffman, op6_sampled_splitters, op7_prefix_free_parsing, op8_coordinate_join, op9_classifier_chain, op10_boundary_chain)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_boundary_chain": """
