@@ -19,7 +19,7 @@ SHINGLE, COORDINATES, MATCHES = 5, 64, 32
 #: Links hold where 100 * intersection >= SHARE * union.
 SHARE = 75
 #: While postings have more than so many classes on average, their centres alone are compared.
-LEFT = 12
+LEFT = 48
 
 _odd = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 FACTOR, SHIFT = _odd[:COORDINATES] | np.uint64(1), _odd[COORDINATES:]
@@ -105,7 +105,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of the m left, ordered by how few classes a posting has, the first m - 31 suffice for two classes that agree in 32
     to meet. In each posting a centre is compared with the others, sizes first, then the count of agreeing coordinates,
     then the full sets; classes already in one component are not compared, and centres leave their posting. Each round
-    takes twice as many centres, and when postings have got short, what is left in them is compared all. So no group of
+    takes eight times as many centres, and when postings have got short, what is left in them is compared all. So no group of
     linked classes is expanded into its pairs, and no link is given up for a group's size.
 
     Fewer than five words: the whole sequence is the one shingle; no words or null text: an empty set, linked with
@@ -173,7 +173,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         else:
             # a group's centres are the same in all its postings, so that few pairs are compared twice
             draw = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("k", F.lit(turn)), "k"))
-            centre = left.withColumn("draw", draw).where(F.col("draw") <= 2**turn)
+            centre = left.withColumn("draw", draw).where(F.col("draw") <= 8**turn)
             centre = cut(centre.select("p", F.col("k").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")))
             pairs = left.join(centre, "p").where("c <> k")
         pairs = pairs.where(fit & (F.col("comp") != F.col("ccomp"))).select("c", "k").distinct()
