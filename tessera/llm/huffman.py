@@ -17,7 +17,7 @@ from .common import parts
 from .tokens import unpack_ids
 
 #: Longest code in bits, ids of a block (the last document goes in whole), and ids between two checkpoints.
-LIMIT, BLOCK, LANE = 18, 1 << 18, 512
+LIMIT, BLOCK, LANE = 18, 1 << 19, 256
 HEAD = struct.Struct("<4sIQI")
 MAGIC = b"TSH1"
 
@@ -135,8 +135,8 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for z in b.column("z").to_pylist():
-                total += np.bincount(unpack_ids(z), minlength=1 << 16)
+            some = [unpack_ids(z) for z in b.column("z").to_pylist()]
+            total += np.bincount(np.concatenate(some), minlength=1 << 16) if some else 0
         ids = np.flatnonzero(total)
         yield pa.record_batch([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
 

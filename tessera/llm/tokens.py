@@ -15,8 +15,24 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
-#: Pieces that a worker keeps at most (it then starts anew), and the longest that it keeps, in characters.
-CACHE, LONGEST = 1_000_000, 48
+#: Pieces of a generation that a worker keeps (the one before it is kept as well), and the longest in characters.
+CACHE, LONGEST = 1_200_000, 48
+
+
+#: A word of plain letters (single code points in normal form, with one in lower case), and a mark after it, which is a
+#: piece of its own to every rule.
+TAILS = ".,;:!?"
+WORD = re.compile(rf"([A-Za-zÀ-ÖØ-öø-įı-ɏ]{{1,{LONGEST}}})([{TAILS}]?)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a printable byte as its Latin-1 character and the others as those from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_CHARACTERS = _byte_characters()
 
 
 class PieceCoder:
@@ -36,36 +52,79 @@ class PieceCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.leading = leading
+        self.leading, self.model = leading, self.tokenizer.model
+        self.tails = {"": b"", **dict(zip(TAILS, self.raw(list(TAILS)), strict=True))}
+        # pieces as they are, and pieces after a space that isn't part of the key; with the generation before
         self.known: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
+        self.old_after: dict[str, bytes] = {}
 
     def raw(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("H", e.ids).tobytes() for e in found]
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[list[str], bool]:
+        """The pieces, and whether they stand without the space before them (all but the first had one)."""
         if not self.leading:
-            return text.split(" ")
+            return text.split(" "), False
         if self.ODD.search(text):
-            return self.CUT.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]]
+            return self.CUT.split(text), False
+        return text.split(" "), True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
-        cut = [self.pieces(x) for x in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        new = [x for x in set().union(*cut).difference(known)] if cut else []
-        brief = [x for x in new if len(x) <= LONGEST]
-        known.update(zip(brief, self.raw(brief), strict=True))
-        if len(brief) < len(new):
-            long = [x for x in new if len(x) > LONGEST]
-            known = {**dict(zip(long, self.raw(long), strict=True))}
-            return [b"".join([self.known[x] if len(x) <= LONGEST else known[x] for x in c]) for c in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        if len(self.after) + len(self.known) > CACHE:
+            self.old_known, self.old_after = self.known, self.after
+            self.known, self.after = {}, {}
+        known, after = self.known, self.after
+        cut, lacking, lacking_after = [], set(), set()
+        for text in texts:
+            pieces, bare = self.pieces(text)
+            ids = [*map((after if bare else known).get, pieces)]
+            if bare:
+                ids[0] = known.get(pieces[0])
+                if ids[0] is None:
+                    lacking.add(pieces[0])
+            gaps, i = [], int(bare) - 1
+            for _ in range(ids.count(None) - int(bare and ids[0] is None)):
+                i = ids.index(None, i + 1)
+                gaps.append(i)
+            (lacking_after if bare else lacking).update([pieces[i] for i in gaps])
+            cut.append((pieces, bare, ids, gaps))
+        new = self.learn(lacking, known, self.old_known, "")
+        new_after = self.learn(lacking_after, after, self.old_after, " ")
+        out = []
+        for pieces, bare, ids, gaps in cut:
+            learnt = new_after if bare else new
+            for i in gaps:
+                ids[i] = learnt[pieces[i]]
+            if ids[0] is None:
+                ids[0] = new[pieces[0]]
+            out.append(b"".join(ids))
+        return out
+
+    def learn(self, lacking: set[str], known: dict[str, bytes], old: dict[str, bytes], space: str) -> dict[str, bytes]:
+        """The ids of the lacking pieces; short ones are known from now on."""
+        found = {p: old[p] for p in lacking if p in old}
+        rest = [p for p in lacking if p not in found]
+        shape = [*map(WORD.fullmatch, rest)]
+        words = {m[1] if self.leading else m[1].lower() for m in shape if m}
+        new = [w for w in words if w not in known]
+        if new:
+            # a word of plain letters is left whole, but for its case, by every rule before the model
+            mapped = (space + ("\n" + space).join(new)).encode().decode("latin-1").translate(BYTE_CHARACTERS).split(BYTE_CHARACTERS[10])
+            tokenize = self.model.tokenize
+            known.update(zip(new, [array("H", [t.id for t in tokenize(w)]).tobytes() for w in mapped], strict=True))
+        other = []
+        for p, m in zip(rest, shape, strict=True):
+            if m:
+                found[p] = known[m[1] if self.leading else m[1].lower()] + self.tails[m[2]]
+            else:
+                other.append(p)
+        found.update(zip(other, self.raw([space + p for p in other] if space else other), strict=True))
+        known.update([(p, x) for p, x in found.items() if len(p) <= LONGEST])
+        return found
 
 
 _coders: dict[tuple[str, bool], PieceCoder] = {}
