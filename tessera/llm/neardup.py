@@ -8,18 +8,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORDS, cut, mix, packed, prefix_hash, release, run_hash, slices, small_batches, word_bounds, word_hashes
+from .common import LOWER, SPACE_WORDS, cut, mix, packed, parts, prefix_hash, release, run_hash, slices, small_batches, word_bounds, word_hashes
 
 #: Words of a shingle; coordinates of a signature, and how many of them must agree. Two sets at a similarity of 0.75
 #: agree in 48 of 64 on average, and in fewer than 32 once in 200,000.
 SHINGLE, COORDINATES, MATCHES = 5, 64, 32
 #: Links hold where 100 * intersection >= SHARE * union.
 SHARE = 75
-#: While postings have more than so many classes on average, their centres alone are compared.
-LEFT = 48
+#: Classes of a block, of which two at a time are compared.
+BLOCK = 64
 
 _odd = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 FACTOR, SHIFT = _odd[:COORDINATES] | np.uint64(1), _odd[COORDINATES:]
@@ -79,6 +79,35 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("k", "n", "sig").mapInArrow(rows, f"p long, k {dict(classes.dtypes)['k']}, n long")
 
 
+def shingle_postings(texts: DataFrame) -> DataFrame:
+    """p, k, n: as postings(), under the shingles themselves, from the packed texts (k, z)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for big in batches:
+            for i in range(0, big.num_rows, 256):
+                b = big.slice(i, 256)
+                sets = shingle_sets(pa.array([unpack(z) for z in b.column("z").to_pylist()], pa.binary()))
+                n = np.array([len(s) for s in sets])
+                take = np.repeat(np.arange(b.num_rows), n)
+                yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), b.column("k").take(pa.array(take)), pa.array(n[take])], ["p", "k", "n"])
+
+    return texts.select("k", "z").mapInArrow(rows, f"p long, k {dict(texts.dtypes)['k']}, n long")
+
+
+def rarest(post: DataFrame, matches: Column, as_smaller: Column | None = None) -> DataFrame:
+    """p, k, n, pop, small: of each class the postings that it must share one of with any class that it shares `matches`
+    with; `small` where that holds for `as_smaller` too, the matches that it needs with a class of its size or larger.
+
+    Postings of one class alone are dropped, then classes with fewer than `matches` left; of the m left, ordered by how
+    few classes a posting has, the first m - matches + 1 suffice. pop: classes in all its m postings."""
+    freq = post.groupBy("p").agg(F.count("*").alias("f")).where("f > 1")
+    per = Window.partitionBy("k")
+    met = post.join(freq, "p").withColumns({"m": F.count("*").over(per), "pop": F.sum("f").over(per)}).where(F.col("m") >= matches)
+    met = met.withColumn("r", F.row_number().over(per.orderBy("f", "p"))).where(F.col("r") <= F.col("m") - matches + 1)
+    return met.select("p", "k", "n", "pop", (F.col("r") <= F.col("m") - (matches if as_smaller is None else as_smaller) + 1).alias("small"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """k, comp: the smallest key that the edges (u, v) reach from each of their ends. Stars of large and of small
     neighbours alternate until nothing changes; neighbours are never gathered, only their minimum is."""
@@ -97,16 +126,64 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("k"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("k"), F.col("v").alias("comp")).distinct())
 
 
+def _blocks(members: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """u, v: links between the components of each group of members (k, comp, n, g), enough to join all that are linked.
+
+    A group's members, in order of size, are cut into blocks; two blocks whose sizes allow a link are compared at once,
+    by a product of their shingles' incidence matrices. A task holds two blocks, and emits a forest of links at most."""
+    order = Window.partitionBy("g").orderBy("n", "k")
+    m = members.withColumn("b", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    blocks = cut(m.join(texts.select("k", "z"), "k").groupBy("g", "b").agg(F.collect_list(F.struct("k", "comp", "z")).alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    span = blocks.select("g", "b", "lo", "hi")
+    after = span.select("g", F.col("b").alias("c"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
+    near = span.join(after, "g").where((F.col("b") <= F.col("c")) & (F.col("hi") * 100 >= F.col("clo") * SHARE)).select("g", "b", "c")
+    both = near.join(blocks.select("g", "b", "d"), ["g", "b"]).join(blocks.select("g", F.col("b").alias("c"), F.col("d").alias("e")), ["g", "c"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for big in batches:
+            for i in range(big.num_rows):
+                d, e = big.column("d")[i].as_py(), big.column("e")[i].as_py()
+                rows = d if [x["k"] for x in d] == [x["k"] for x in e] else d + e
+                sets = shingle_sets(pa.array([unpack(x["z"]) for x in rows], pa.binary()))
+                n = np.array([len(s) for s in sets])
+                known, at = np.unique(np.concatenate(sets), return_inverse=True)
+                has = np.zeros((len(known), len(rows)), np.float32)
+                has[at, np.repeat(np.arange(len(rows)), n)] = 1
+                both = np.rint(has.T @ has).astype(np.int64)
+                linked = 100 * both >= SHARE * (n[:, None] + n[None, :] - both)
+                root: dict = {}
+
+                def find(x, root=root):
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                found = []
+                for x, y in zip(*[r.tolist() for r in np.nonzero(np.triu(linked, 1))], strict=True):
+                    p, q = find(rows[x]["comp"]), find(rows[y]["comp"])
+                    if p != q:
+                        root[p] = q
+                        found.append((rows[x]["k"], rows[y]["k"]))
+                kinds = big.schema.field("d").type.value_type.field("k").type
+                yield pa.record_batch([pa.array([f[j] for f in found], kinds) for j in (0, 1)], ["u", "v"])
+
+    spark = members.sparkSession
+    return both.select("d", "e").repartition(parts(spark)).mapInArrow(compared, f"u {kind}, v {kind}")
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept: documents linked by a shingle similarity of 0.75 or more, transitively.
 
     Documents with equal sets are one class, whose smallest key stands for it. Each class is posted under its 64
-    (coordinate, value) pairs. Postings of one class alone are dropped, then classes with fewer than 32 postings left;
-    of the m left, ordered by how few classes a posting has, the first m - 31 suffice for two classes that agree in 32
-    to meet. In each posting a centre is compared with the others, sizes first, then the count of agreeing coordinates,
-    then the full sets; classes already in one component are not compared, and centres leave their posting. Each round
-    takes eight times as many centres, and when postings have got short, what is left in them is compared all. So no group of
-    linked classes is expanded into its pairs, and no link is given up for a group's size.
+    (coordinate, value) pairs; prefixes of the rarest postings (see rarest()) leave the classes that can meet at all.
+    For these alone the same is done with the shingles themselves: linked sets share three quarters of the larger and six
+    sevenths of the smaller, so that a passage that many documents share brings together only those that it fills.
+
+    In each posting a centre, the class that most others share postings with, is compared with the others: sizes first,
+    then the count of agreeing coordinates, then the full sets. Postings that then lie in one component are done with.
+    The classes of the others, which are near misses for the most part, are compared in blocks; blocks are joined, not
+    classes, and no link is given up for a group's size.
 
     Fewer than five words: the whole sequence is the one shingle; no words or null text: an empty set, linked with
     nothing. A repeated key stands for one document. A null key is linked with nothing, and kept. Empty table: no rows."""
@@ -115,12 +192,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = dict(docs.dtypes)[key]
     all_docs = cut(described(docs, key, text))
     classes = cut(all_docs.where("n > 0 and k is not null").groupBy("sid").agg(F.min(F.struct("k", "n", "sig")).alias("x")).select("sid", "x.*"))
-    freq = postings(classes).groupBy("p").agg(F.count("*").alias("f")).where("f > 1")
-    met = postings(classes).join(freq, "p")
-    per = Window.partitionBy("k")
-    rare = F.row_number().over(per.orderBy("f", "p"))
-    met = met.withColumn("m", F.count("*").over(per)).where(F.col("m") >= MATCHES).withColumn("r", rare).where(F.col("r") <= F.col("m") - MATCHES + 1)
-    met = cut(met.select("p", "k", "n"))
+    involved = cut(rarest(postings(classes), F.lit(MATCHES)).select("k").distinct())
     release(spark)
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +200,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for b in batches:
             yield pa.record_batch([b.column("k"), pa.array([pack((x or "").encode()) for x in b.column("t").to_pylist()], pa.binary())], ["k", "z"])
 
-    involved = met.select("k").distinct()
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(squeezed, f"k {kind}, z binary")
     texts = cut(texts.join(involved, "k").join(classes.select("k", "sig"), "k").dropDuplicates(["k"]))
     release(spark)
+    met = cut(rarest(shingle_postings(texts), F.ceil(F.col("n") * SHARE / 100), F.ceil(F.col("n") * 2 * SHARE / (100 + SHARE))))
+    release(spark)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -157,38 +230,22 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         right = texts.select(F.col("k").alias("c"), F.col("z").alias("cz"), F.col("sig").alias("csig"))
         return cut(pairs.join(texts, "k").join(right, "c").select("c", "k", "z", "cz", "sig", "csig").mapInArrow(confirmed, f"u {kind}, v {kind}"))
 
-    fit = (F.least("n", "cn") * 100 >= F.greatest("n", "cn") * SHARE)
-    labels, links, turn = None, None, 0
-    left = met.withColumn("comp", F.col("k"))
-    while True:
-        span = left.groupBy("p").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        left = cut(left.join(span.select("p", "f"), "p"))
-        n, most = left.agg(F.count("*"), F.sum("f")).first()
-        if not n:
-            break
-        every = most <= LEFT * n and turn > 0
-        if every:
-            other = left.select("p", F.col("k").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp"))
-            pairs = left.join(other, "p").where(F.col("c") < F.col("k"))
-        else:
-            # a group's centres are the same in all its postings, so that few pairs are compared twice
-            draw = F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("k", F.lit(turn)), "k"))
-            centre = left.withColumn("draw", draw).where(F.col("draw") <= 8**turn)
-            centre = cut(centre.select("p", F.col("k").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("ccomp")))
-            pairs = left.join(centre, "p").where("c <> k")
-        pairs = pairs.where(fit & (F.col("comp") != F.col("ccomp"))).select("c", "k").distinct()
-        new = confirm(pairs)
-        links = new if links is None else cut(links.union(new))
-        if every:
-            break
-        labels = components(links)
-        left = left.drop("f", "comp").join(centre.select("p", F.col("c").alias("k"), F.lit(True).alias("done")), ["p", "k"], "left").where("done is null").drop("done")
-        left = left.join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-        turn += 1
-        release(spark)
-    if links is None:
-        links = met.select(F.col("k").alias("u"), F.col("k").alias("v")).limit(0)
+    fit = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * SHARE
+    fit = fit & F.when(F.col("n") < F.col("cn"), F.col("small")).when(F.col("n") > F.col("cn"), F.col("csmall")).otherwise(F.col("small") | F.col("csmall"))
+    # first a centre for each posting, the same in all postings of a group, so that few pairs are compared twice
+    left = met.join(met.groupBy("p").agg(F.max(F.struct("pop", "k", "n", "small")).alias("x")), "p")
+    pairs = left.withColumns({"c": F.col("x.k"), "cn": F.col("x.n"), "csmall": F.col("x.small")}).where("c <> k").where(fit).select("c", "k").distinct()
+    links = confirm(pairs)
     labels = components(links)
+    left = met.join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
+    span = left.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("small").alias("any"), F.min("k").alias("least")).where("lo <> hi and any")
+    left = cut(left.join(span.select("p", "least"), "p").select("k", "comp", "n", "least").distinct())
+    release(spark)
+    if not left.isEmpty():
+        groups = components(left.select(F.col("k").alias("u"), F.col("least").alias("v")))
+        members = left.select("k", "comp", "n").distinct().join(groups.withColumnRenamed("comp", "g"), "k")
+        links = cut(links.union(_blocks(members, texts, kind)))
+        labels = components(links)
     named = classes.select("sid", "k").join(labels, "k", "left").select("sid", F.coalesce("comp", "k").alias("comp"))
     out = all_docs.select("k", "n", "sid").join(named, "sid", "left")
     component = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("comp")).otherwise(F.col("k"))
