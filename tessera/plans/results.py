@@ -132,16 +132,16 @@ ROUTER = f"""{RUNS}, def as (select dataset, seed, avg(ba) dba, avg(f1) df1 from
  u as (select *, 0.7*ba+0.3*f1 su, 0.7*dba+0.3*df1 du from j)"""
 
 
-@query(f"with {ROUTER} select dataset, seed, round(su,6)+0.0 as utility, round(su-du,6)+0.0 as delta_utility, round(ba-dba,6)+0.0 as delta_ba from u")
+@query(f"with {ROUTER} select dataset, seed, round(su,8)+0.0 as utility, round(su-du,8)+0.0 as delta_utility, round(ba-dba,6)+0.0 as delta_ba from u")
 def router_realized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
     d = r.where("method = 'A'").groupBy(*KEYS).agg(F.avg("ba").alias("dba"), F.avg("f1").alias("df1"))
     j = r.where("method = 'N'").join(d, KEYS, "left").withColumns({"ba": F.coalesce("ba", "dba"), "f1": F.coalesce("f1", "df1")})
     su, du = 0.7 * F.col("ba") + 0.3 * F.col("f1"), 0.7 * F.col("dba") + 0.3 * F.col("df1")
-    return j.select("dataset", "seed", r6(su).alias("utility"), r6(su - du).alias("delta_utility"), r6(F.col("ba") - F.col("dba")).alias("delta_ba"))
+    return j.select("dataset", "seed", (F.round(su, 8) + F.lit(0.0)).alias("utility"), (F.round(su - du, 8) + F.lit(0.0)).alias("delta_utility"), r6(F.col("ba") - F.col("dba")).alias("delta_ba"))
 
 
-@query(f"""with {ROUTER}, h as (select count(*) n, count(*) filter (round(su-du,6)>0) w, avg(su-du) m, count(*) filter (round(ba-dba,6) < -0.01) harm from u),
+@query(f"""with {ROUTER}, h as (select count(*) n, count(*) filter (round(su-du,8)>0) w, avg(su-du) m, count(*) filter (round(ba-dba,6) < -0.01) harm from u),
  p as (select *, w/n p from h) select n, w as wins, round(m,6)+0.0 as mean_delta, harm, round(greatest(0,(p+1.96*1.96/(2*n)-1.96*sqrt((p*(1-p)+1.96*1.96/(4*n))/n))/(1+1.96*1.96/n)),6)+0.0 as wilson_lower, round(least(1, harm/n+sqrt(-ln(0.05)/(2*n))),6)+0.0 as harm_upper from p""")
 def router_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = router_realized_scores(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("delta_utility") > 0).alias("w"), F.avg("delta_utility").alias("m0"), F.count_if(F.col("delta_ba") < -0.01).alias("harm"))

@@ -53,7 +53,7 @@ def read_dense_arff(spark: SparkSession, path: str) -> DataFrame:
 
 def pointer_stubs(spark: SparkSession, path: str) -> DataFrame:
     """(file, oid) of files that are no data but small pointers to large-file storage."""
-    t = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
     stub = (F.col("size") <= 8192) & F.col("value").startswith("version https://git-lfs.github.com/spec/") & F.col("value").rlike(r"oid sha256:[0-9a-f]{64}")
     return t.where(stub).select("file", F.regexp_extract("value", r"oid sha256:([0-9a-f]{64})", 1).alias("oid"))
 
