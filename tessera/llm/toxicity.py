@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, packed, run_hash, prefix_hash, BYTE_UNITS, slices, small_batches, word_bounds
 
 #: Bound on the labelled documents that models are fitted to, features kept for each category, and folds.
-SAMPLE, FEATURES, FOLDS = 12_000, 800, 5
+SAMPLE, FEATURES, FOLDS = 12_000, 200, 5
 #: Lengths in bytes of the beginnings of words that count as features, beside whole words.
 HEADS = (4, 5, 6)
 #: Ridge penalty, steps and step size of the fits; probability from which a document counts as positive.
