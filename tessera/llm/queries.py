@@ -98,7 +98,38 @@ def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprint_runs, op2_exact_digest, op3_deficit_round_robin, op4_suffix_automaton, op5_canonical_huffman, op6_sampled_splitters, op7_prefix_free_parsing, op8_coordinate_join, op9_classifier_chain, op10_boundary_chain)}
 
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_fingerprint_runs": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        v as (select doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) as s from d),
+        k as (select doc_id, s, row_number() over (partition by array_to_string(list_slice(w, s, s + 19), ' ') order by doc_id, s) as nth from v),
+        gone as (select distinct doc_id, unnest(range(s, s + 20)) as pos from k where nth > 1),
+        p as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as pos from d),
+        j as (select p.doc_id, string_agg(word, ' ' order by p.pos) filter (gone.pos is null) as kept, count(gone.pos) as n_removed from p left join gone on gone.doc_id = p.doc_id and gone.pos = p.pos group by p.doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join j using (doc_id)""",
+    "op4_suffix_automaton": rf"""
+        with d as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        i as (select cast(item_id as varchar) as item, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        l as (select item, w, least(len(w), 10) as m, unnest(range(1, greatest(len(w) - 8, 2))) as s from i where len(w) > 0),
+        k as (select distinct item, m, array_to_string(list_slice(w, s, s + m - 1), ' ') as t from l),
+        v as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as s from d, (select distinct m from k)),
+        h as (select doc_id, s, k.m, item from v join k on k.m = v.m and k.t = array_to_string(list_slice(w, s, s + v.m - 1), ' ')),
+        n as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + m)) as pos from h) group by doc_id),
+        f as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+        select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join n using (doc_id) left join f using (doc_id)""",
+    "op8_coordinate_join": rf"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+        p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as s from d where len(w) > 0),
+        g as (select distinct doc_id, array_to_string(list_slice(w, s, s + 4), ' ') as t from p),
+        c as (select doc_id, count(*) as n from g group by doc_id),
+        o as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.t = b.t and a.doc_id < b.doc_id group by all),
+        l as (select a, b from o join c x on x.doc_id = a join c y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+        e as (select a, b from l union all select b, a from l),
+        r(doc_id, root) as (select doc_id, doc_id from d union select e.b, r.root from r join e on e.a = r.doc_id where r.root < e.b)
+        select d.doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component_id, min(root) = d.doc_id as kept from d join r using (doc_id) left join c using (doc_id) group by d.doc_id""",
     "op10_boundary_chain": """
         with p as (select page_id, sha1(coalesce(html, '')) as payload_digest, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
         k as (select payload_digest, max(page_id) as keeper from p where payload_bytes >= 1000 group by all)
