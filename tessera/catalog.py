@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import features, models, results, tabular
+from .plans import features, models, more, results, tabular
 from .plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "features", "models", "results", "tabular"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "features", "models", "more", "results", "tabular"]
 
 FLAGSHIP = "feature_portfolio"
