@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import delete, read, scratch
+from tessera.llm.common import delete, lean_workers, read, scratch
 from tessera.llm.decontaminate import mark, remove
 from tessera.llm.neardup import near_components
 from tessera.llm.packing import pack
@@ -31,6 +31,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of `toxic` is below CUT; models are fitted to the labelled ones among them."""
+    lean_workers(spark)
     chain = fit_chain(docs, read(spark, sf_dir, "labels"), CATEGORIES)
     scored = score(docs, chain, into="_toxicity")
     return scored.where(F.col("_toxicity.toxic") < CUT).drop("_toxicity")
@@ -38,22 +39,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stay."""
+    lean_workers(spark)
     gone = near_components(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of REPEATS that stand in two places; every document stays."""
+    lean_workers(spark)
     return _counted(without_bytes(docs, repeated_bytes(docs, REPEATS), digest=False).select(*docs.columns))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of benchmark windows; those that consist mostly of them go."""
+    lean_workers(spark)
     return _counted(remove(mark(docs, read(spark, sf_dir, "benchmark")), coverage=COVERAGE).select(*docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids in the proportions of the sources."""
+    lean_workers(spark)
     return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), leading=True, end=1, keep=["doc_id", "source"]))
 
 

@@ -62,6 +62,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers that give large freed arrays back to the system at once, for jobs in which workers of several
+    stages are alive side by side."""
+    env = spark.sparkContext.environment
+    for name, value in (("MALLOC_MMAP_THRESHOLD_", "262144"), ("MALLOC_TRIM_THRESHOLD_", "262144"), ("MALLOC_ARENA_MAX", "1"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+        env[name] = value
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows whose text comes to about `most` bytes."""
     n = batch.num_rows

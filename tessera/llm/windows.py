@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import BYTE_UNITS, SPACE_WORDS, mix, packed, prefix_hash, run_hash, slices, small_batches, word_bounds, word_hashes
 
 #: Starts handled at a time inside one text, and low bits of a trigger's sort key that hold its place.
-RUN, PLACE = 1 << 19, np.uint64((1 << 28) - 1)
-SLICE = 1 << 20
+RUN, PLACE = 1 << 18, np.uint64((1 << 28) - 1)
+SLICE = 1 << 19
 
 
 class Spec:
