@@ -52,7 +52,7 @@ class PieceCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.leading, self.model = leading, self.tokenizer.model
+        self.leading, self.model, self.cache = leading, self.tokenizer.model, CACHE
         self.tails = {"": b"", **dict(zip(TAILS, self.raw(list(TAILS)), strict=True))}
         # pieces as they are, and pieces after a space that isn't part of the key; with the generation before
         self.known: dict[str, bytes] = {}
@@ -74,7 +74,7 @@ class PieceCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
-        if len(self.after) + len(self.known) > CACHE:
+        if len(self.after) + len(self.known) > self.cache:
             self.old_known, self.old_after = self.known, self.after
             self.known, self.after = {}, {}
         known, after = self.known, self.after
@@ -147,7 +147,7 @@ def unpack_ids(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<u2")
 
 
-def token_rows(docs: DataFrame, path: str, leading: bool, end: int, keep: list[str], text: str = "text") -> DataFrame:
+def token_rows(docs: DataFrame, path: str, leading: bool, end: int, keep: list[str], text: str = "text", cache: int = CACHE) -> DataFrame:
     """keep..., h, n, z: the ids of each text with `end` after them, as packed unsigned 16-bit integers; n counts them,
     h is a hash of the text that orders repeated keys. Null text: `end` alone. The vocabulary has at most 65,536 ids."""
     small_batches(docs.sparkSession)
@@ -156,6 +156,7 @@ def token_rows(docs: DataFrame, path: str, leading: bool, end: int, keep: list[s
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, leading)
+        c.cache = cache
         for big in batches:
             for b in slices(big, "t", 1 << 20):
                 ids = [x + tail for x in c.encode([x or "" for x in b.column("t").to_pylist()])]
