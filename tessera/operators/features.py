@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +67,11 @@ def quantile_bins(m: DataFrame, bins: int) -> DataFrame:
 
 def information(binned: DataFrame, target: str = "label") -> DataFrame:
     """Plug-in mutual information, entropies (nats) and symmetric uncertainty of each feature's bins and the target."""
-    joint = binned.groupBy("f", "bin", target).agg(F.count("*").alias("c"))
+    return information_of(binned.groupBy("f", "bin", target).agg(F.count("*").alias("c")), target)
+
+
+def information_of(joint: DataFrame, target: str = "label") -> DataFrame:
+    """The same of counted cells (f, bin, target, c)."""
     f, fx, fy = Window.partitionBy("f"), Window.partitionBy("f", "bin"), Window.partitionBy("f", target)
     j = joint.withColumns({"n": F.sum("c").over(f), "cx": F.sum("c").over(fx), "cy": F.sum("c").over(fy)})
     p, ent = F.col("c") / F.col("n"), lambda c: -F.sum(F.col("c") / F.col("n") * F.ln(F.col(c) / F.col("n")))
@@ -158,3 +166,106 @@ def shrunken_centroids(m: DataFrame) -> DataFrame:
     s0 = c.select("f", "s").distinct().agg(F.median("s").alias("s0"))
     size = F.sqrt(1 / F.col("n") - 1 / F.col("total"))
     return c.crossJoin(F.broadcast(s0)).select("f", "label", ((F.col("mu") - F.col("grand")) / (size * (F.col("s") + F.col("s0")))).alias("d"))  # one row
+
+
+def _middle(x: np.ndarray) -> float | None:
+    """Median of the squared differences over 0 of every two of the ascending values, without a grid of pairs."""
+    n, own = len(x), np.arange(1, len(x) + 1)
+    within = lambda t: int((np.searchsorted(x, x + t, "right") - own).sum())
+    ties = within(0.0)
+    pairs = n * (n - 1) // 2 - ties
+    if not pairs:
+        return None
+
+    def nth(k: int) -> float:
+        lo, hi = 0.0, float(x[-1] - x[0]) * (1 + 1e-15)
+        while lo < (mid := (lo + hi) / 2) < hi and hi - lo > 1e-15 * hi:
+            lo, hi = (lo, mid) if within(mid) - ties > k else (mid, hi)
+        return hi
+
+    a = nth((pairs - 1) // 2)
+    b = a if pairs % 2 else nth(pairs // 2)
+    return (a * a + b * b) / 2
+
+
+#: Nodes of a cell as wide as the kernel: interpolation is exact to rounding. Cells further than REACH add under 1e-17.
+NODES, REACH = 16, 10
+
+
+def _hsic(x: np.ndarray, label: np.ndarray) -> float | None:
+    """sum(Kc * Lc) / (n - 1)^2. label: codes, -1 for none (like nothing, itself included).
+
+    The centred sum needs sums of K over all, by row and by class only. Values are gathered in cells of the kernel's
+    width, each cell's on Chebyshev nodes, so these sums cost what the occupied cells do, not the pairs of rows."""
+    order = np.argsort(x, kind="stable")
+    x, label, n = x[order], label[order], len(x)
+    middle = _middle(x)
+    if middle is None:
+        return None
+    s = np.sqrt(0.5 * middle)
+    cell = np.floor((x - x[0]) / s)
+    cells, at = np.unique(cell, return_inverse=True)
+    node = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+    weight = (-1.0) ** np.arange(NODES) * np.sin((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+    size = np.bincount(label[label >= 0], minlength=int(label.max()) + 1) if (label >= 0).any() else np.zeros(0, np.int64)
+    by_class = np.zeros((len(size) + 1, len(cells), NODES))
+    for lo in range(0, n, 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        gap = (2 * ((x[part] - x[0]) / s - cell[part]) - 1)[:, None] - node
+        hit = gap == 0
+        share = weight / np.where(hit, 1.0, gap)
+        share = np.where(hit.any(1)[:, None], hit, share / share.sum(1)[:, None])
+        np.add.at(by_class, (label[part], at[part]), share)  # -1: the last
+    whole = by_class.sum(0)
+    like = np.tensordot(size.astype(float), by_class[:-1], 1)
+    total = rows = same = 0.0
+    for step in range(REACH + 1):
+        near = np.exp(-((step + (node[:, None] - node) / 2) ** 2) / 2)  # node of the further cell, of the nearer one
+        j = np.searchsorted(cells, cells + step)
+        i = np.flatnonzero((j < len(cells)) & (cells[np.minimum(j, len(cells) - 1)] == cells + step))
+        j = j[i]
+        both = lambda u, v: float(((u[..., j, :] @ near) * v[..., i, :]).sum())  # noqa: B023, E731
+        twice = 2 if step else 1
+        total += twice * both(whole, whole)
+        same += twice * both(by_class[:-1], by_class[:-1])
+        rows += both(like, whole) + (both(whole, like) if step else 0.0)
+    return (same - 2 * rows / n + total * float((size.astype(float) ** 2).sum()) / n**2) / (n - 1) ** 2
+
+
+def hsic(m: DataFrame) -> DataFrame:
+    """HSIC of each feature's RBF kernel, width by the median rule, with the label kernel, both centred; a task holds one
+    feature's column. Rows without a value are left out of its feature; null where all values are equal."""
+
+    def one(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        codes = t["label"].combine_chunks().dictionary_encode().indices.fill_null(-1)
+        score = _hsic(t["v"].to_numpy().astype(float), codes.to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.table({"f": pa.array([key[0].as_py()], pa.int64()), "hsic": pa.array([score], pa.float64())})
+
+    return m.where("v is not null").select("f", "label", "v").groupBy("f").applyInArrow(one, "f long, hsic double")
+
+
+def pair_counts(binned: DataFrame, bins: int) -> DataFrame:
+    """(f, g, bin, other, c): how many rows have this cell of every two features f < g. binned: (row_id, x), x an array
+    of bins from 0, null where there is no value. Counts come of products of indicator matrices, in blocks of features."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = [np.stack(b.column("x").fill_null([]).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not x:
+            return
+        x = np.concatenate([np.nan_to_num(np.asarray(a, float), nan=-1).astype(np.int8) for a in x])
+        p, block = x.shape[1], 64
+        for a in range(0, p, block):
+            for b in range(a, p, block):
+                left, right = x[:, a : a + block], x[:, b : b + block]
+                c = np.zeros((left.shape[1] * bins, right.shape[1] * bins))
+                for lo in range(0, len(x), 4096):
+                    hot = lambda y: (y[lo : lo + 4096, :, None] == np.arange(bins)).reshape(len(y[lo : lo + 4096]), -1).astype(np.float32)  # noqa: B023, E731
+                    c += hot(left).T @ hot(right)
+                i, j = np.nonzero(c)
+                f, g = a + i // bins, b + j // bins
+                keep = f < g
+                cells = [f, g, i % bins, j % bins, c[i, j]]
+                yield pa.record_batch([pa.array(y[keep].astype(np.int64)) for y in cells], ["f", "g", "bin", "other", "c"])
+
+    parts = binned.mapInArrow(count, "f long, g long, bin long, other long, c long")
+    return parts.groupBy("f", "g", "bin", "other").agg(F.sum("c").alias("c"))

@@ -34,15 +34,19 @@ def top_families(spark: SparkSession, sf_dir: str) -> DataFrame:
  k as (select d.f, i, j, exp(-d2/(2*s*s)) k, l from d join s on s.f=d.f), c as (select f, k-avg(k) over (partition by f,i)-avg(k) over (partition by f,j)+avg(k) over (partition by f) kc, l-avg(l) over (partition by f,i)-avg(l) over (partition by f,j)+avg(l) over (partition by f) lc from k)
  select f, round(1000*sum(kc*lc)/(count(*)-2*sqrt(count(*))+1),6)+0.0 as hsic from c group by f""")
 def kernel_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HSIC (times 1000) of a feature's RBF kernel, width by the median rule, with the label kernel, both centred."""
-    m = matrix(spark, sf_dir).where("f < 2")
-    a, b = m.select("f", F.col("row_id").alias("i"), F.col("v").alias("va"), F.col("label").alias("la")), m.select("f", F.col("row_id").alias("j"), F.col("v").alias("vb"), F.col("label").alias("lb"))
-    d = a.join(b, "f").select("f", "i", "j", ((F.col("va") - F.col("vb")) ** 2).alias("d2"), (F.col("la") == F.col("lb")).cast("double").alias("l"))
-    s = d.groupBy("f").agg(F.sqrt(0.5 * F.median(F.when(F.col("d2") > 0, F.col("d2")))).alias("s"))
-    k = d.join(F.broadcast(s), "f").withColumn("k", F.exp(-F.col("d2") / (2 * F.col("s") * F.col("s"))))  # a row for each of two features
-    centred = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy("f", "i")) - F.avg(c).over(Window.partitionBy("f", "j")) + F.avg(c).over(Window.partitionBy("f"))
-    n = F.sqrt(F.count("*"))
-    return k.select("f", centred("k").alias("kc"), centred("l").alias("lc")).groupBy("f").agg(r6(1000 * F.sum(F.col("kc") * F.col("lc")) / ((n - 1) * (n - 1))).alias("hsic"))
+    """HSIC (times 1000) of features 0 and 1, which is what the SQL's grid of pairs allows: the check of the operator that
+    kernel_screening runs over all features."""
+    return _alignment(matrix(spark, sf_dir).where("f < 2"))
+
+
+@query()
+def kernel_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HSIC (times 1000) of every feature's RBF kernel, width by the median rule, with the label kernel, both centred."""
+    return _alignment(matrix(spark, sf_dir))
+
+
+def _alignment(m: DataFrame) -> DataFrame:
+    return FO.hsic(m).select("f", r6(1000 * F.col("hsic")).alias("hsic"))
 
 
 @query(f"""with {RUNS}, o as (select 'ba' oracle, a.method i, b.method j, avg(case when abs(a.ba-b.ba) <= 0.0005 then 0.5 when a.ba > b.ba then 1.0 else 0.0 end) p from runs a join runs b using (dataset, seed) where a.method <> b.method group by all
@@ -107,10 +111,25 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {LONG}, a as (select row_id, v as x from m where f=0), b as (select row_id, v as y from m where f=1), j as (select least(15, floor((x-min(x) over ())/(max(x) over ()-min(x) over ())*16)) bx, least(15, floor((y-min(y) over ())/(max(y) over ()-min(y) over ())*16)) by_ from a join b using(row_id)),
  c as (select bx, by_, count(*) c from j group by all), k as (select c, sum(c) over () n, sum(c) over (partition by bx) cx, sum(c) over (partition by by_) cy from c), h as (select sum(c/n*ln(c*n/(cx*cy))) mi, -sum(c/n*ln(cx/n)) hx, -sum(c/n*ln(cy/n)) hy from k) select round(mi/least(hx,hy),6)+0.0 as nmi from h""")
 def normalised_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual information over the smaller entropy, on a grid of 16 equal widths each way."""
+    """Mutual information over the smaller entropy of features 0 and 1, the pair that the SQL has, on a grid of 16 equal
+    widths each way; information_pairs has every pair."""
     m = matrix(spark, sf_dir)
     j = m.where("f = 0").select("row_id", F.col("v").alias("x")).join(m.where("f = 1").select("row_id", F.col("v").alias("y")), "row_id")
     w = Window.partitionBy()
     cell = lambda c: F.least(F.lit(15), F.floor((F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w)) * 16))
     b = j.select(F.lit(0).alias("f"), cell("x").alias("bin"), cell("y").alias("label"))
     return FO.information(b).select(r6(F.col("mi") / F.least("hx", "hy")).alias("nmi"))
+
+
+@query()
+def information_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """normalised_information of every two features f < g; 0 where one has a single value. A feature's grid spans all its
+    values; rows without one of the two values are left out of the pair."""
+    m = matrix(spark, sf_dir)
+    span = m.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 16)
+    cell = F.when(F.col("v").isNotNull(), F.least(F.lit(15), F.coalesce(place, F.lit(0)))).cast("int")
+    cells = m.join(F.broadcast(span), "f").groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", cell.alias("x")))), lambda c: c["x"]).alias("x"))  # a row for each feature
+    joint = FO.pair_counts(cells, 16).select(F.struct("f", "g").alias("f"), "bin", F.col("other").alias("label"), "c")
+    nmi = F.coalesce(F.col("mi") / F.nullif(F.least("hx", "hy"), F.lit(0.0)), F.lit(0.0))
+    return FO.information_of(joint).select("f.f", "f.g", r6(nmi).alias("nmi"))
