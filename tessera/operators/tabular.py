@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +65,35 @@ def center_scale(m: DataFrame) -> DataFrame:
     all_, own = Window.partitionBy("f"), Window.partitionBy("f", "batch")
     sd = F.coalesce(F.stddev_samp("v").over(own), F.stddev_samp("v").over(all_))
     return m.withColumn("adjusted", (F.col("v") - F.avg("v").over(own)) / F.nullif(sd, F.lit(0.0)) * F.stddev_samp("v").over(all_) + F.avg("v").over(all_))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each connected component of edges (a, b). In each round a node and the one
+    that its label names take the smallest label around it, then labels jump, until every neighbourhood agrees. Edges
+    with a null are left out."""
+    e = edges.select("a", "b").where("a is not null and b is not null")
+    both = e.union(e.select("b", "a")).distinct().persist()
+    keep = lambda d: d.checkpoint() if d.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else d.localCheckpoint()
+    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    while True:
+        known = labels.hint("merge")
+        near = both.join(known, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        near = near.join(known, F.col("a") == F.col("node")).select("node", "component", F.least("least", "component").alias("least"), F.greatest("most", "component").alias("most"))
+        near = keep(near)
+        if near.where("least <> most").isEmpty():
+            both.unpersist()
+            return labels
+        hooked = near.select("node", "least").union(near.select("component", "least")).groupBy("node").agg(F.min("least").alias("component"))
+        root = hooked.select(F.col("node").alias("at"), F.col("component").alias("root")).hint("merge")
+        # an aggregate, since a checkpoint keeps what joins say of their columns, which slows planning round by round
+        labels = keep(hooked.join(root, F.col("component") == F.col("at")).groupBy("node").agg(F.min("root").alias("component")))
+
+
+def linked_rows(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
+    """(row_id, component): the smallest id of all rows that are linked by equal values of any key, over any number of
+    steps. Each row is linked to the first row of each of its keys; a null key links nothing."""
+    edges = [rows.select(F.col(row_id).alias("a"), F.when(F.col(k).isNotNull(), F.min(row_id).over(Window.partitionBy(k))).alias("b")) for k in keys]
+    own = rows.select(F.col(row_id).alias("a"), F.col(row_id).alias("b"))
+    for e in edges:
+        own = own.union(e)
+    return components(own).withColumnRenamed("node", row_id)

@@ -206,18 +206,14 @@ def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with recursive e as (select distinct user_id % 97 a, cast(user_id % 89 + 1000 as bigint) b from events), und as (select a, b from e union select b, a from e), r(n, c) as (select a, a from und union select und.b, r.c from r join und on und.a=r.n where r.c < und.b)
  select n as node, min(c) as component from r group by n""")
 def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of linked identities by minimum labels with pointer jumping."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("a"), (F.col("user_id") % 89 + 1000).alias("b")).distinct()
-    both = e.union(e.select("b", "a")).distinct().cache()
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    total = None
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = step.join(up, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"))
-        labels = labels.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else labels.persist()
-        now = labels.agg(F.sum("component")).first()[0]
-        if now == total:
-            return labels
-        total = now
+    """Connected components of user numbers folded to 97 and 89, small enough for the SQL's recursion: the check of the
+    operator that linked_identities runs over whole ids."""
+    return O.components(table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("a"), (F.col("user_id") % 89 + 1000).alias("b")))
+
+
+@query()
+def linked_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every event, named by its smallest event: events of one user, or of one session (a whole second of
+    the clock), belong together, over any number of steps."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("second", "ts").alias("session"))
+    return O.linked_rows(e, "event_id", ["user_id", "session"])

@@ -7,6 +7,7 @@ import numpy as np
 
 from tessera import catalog
 from tessera.operators import features as FO
+from tessera.operators import tabular as TO
 
 
 def columns(spark, sf_dir):
@@ -48,3 +49,37 @@ def test_information_pairs(spark, sf_dir):
         hx, hy = entropy(cell[:, f].tolist()), entropy(cell[:, g].tolist())
         mi = hx + hy - entropy(list(zip(cell[:, f].tolist(), cell[:, g].tolist(), strict=True)))
         assert abs(got[f, g] - mi / min(hx, hy)) < 2e-6, (f, g)
+
+
+def union_find(rows):
+    """The smallest id of each row's component; rows: (id, key, key ...)."""
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for i, *keys in rows:
+        for k in enumerate(keys):
+            if k[1] is not None:
+                up[root(("key", *k))] = root(("row", i))
+    least = {}
+    for i, *_ in sorted(rows):
+        least.setdefault(root(("row", i)), i)
+    return {i: least[root(("row", i))] for i, *_ in rows}
+
+
+def test_linked_identities(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").collect()
+    want = union_find([(e.event_id, e.user_id, e.ts.replace(microsecond=0)) for e in events])
+    got = catalog.QUERIES["linked_identities"](spark, sf_dir).collect()
+    assert len(got) == len(events) and {r.event_id: r.component for r in got} == want and len(set(want.values())) > 1
+
+
+def test_linked_rows_over_many_steps(spark):
+    order = np.random.default_rng(5).permutation(300).tolist()
+    chain = [(order[i], i // 2, (i + 1) // 2) for i in range(250)] + [(order[i], None, 1000 + i // 5) for i in range(250, 300)]
+    chain += [(2**62 + i, None, None) for i in range(4)]
+    got = TO.linked_rows(spark.createDataFrame(chain, "id long, x long, y long"), "id", ["x", "y"])
+    assert {r.id: r.component for r in got.collect()} == union_find(chain)
