@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -97,3 +98,42 @@ def linked_rows(rows: DataFrame, row_id: str, keys: list[str]) -> DataFrame:
     for e in edges:
         own = own.union(e)
     return components(own).withColumnRenamed("node", row_id)
+
+
+def smote(rows: DataFrame, row_id: str, label: str, features: str, k: int, seed: int) -> DataFrame:
+    """(label, draw, row_id, neighbour, x): synthetic rows that fill every class up to the largest class's size.
+
+    The rows of a class are taken in a seeded hash order, again from the first when it ends. Each draw hashes to one of
+    its row's k nearest others of the class (ties: the smaller id) and to a place between the two. As in the reference,
+    a class to be filled needs k + 1 rows and finite values. A task holds one class."""
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row for each class
+    most = max(sizes.values(), default=0)
+    if few := sorted(c for c, n in sizes.items() if n < min(most, k + 1)):
+        raise ValueError(f"classes {few} have under {k + 1} rows")
+    kind = dict(rows.dtypes)
+
+    def fill(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        ids, x = t["i"].to_pylist(), np.array(t["x"].to_pylist(), float)
+        if not np.isfinite(x).all():
+            raise ValueError("values must be finite")
+        digest = lambda *of: hashlib.sha256(":".join(map(str, (*of, seed))).encode()).digest()
+        order = sorted(range(len(ids)), key=lambda i: (digest(ids[i]), ids[i]))
+        near, out = {}, []
+        for draw in range(most - len(ids)):
+            i = order[draw % len(ids)]
+            if i not in near:
+                d = sum(((x[:, f] - x[i, f]) ** 2 for f in range(x.shape[1])), np.zeros(len(ids)))
+                d[i] = np.inf
+                near[i] = np.argsort(d, kind="stable")[:k]
+            h = digest(ids[i], draw)
+            j = int(near[i][int.from_bytes(h[:8], "big") % k])
+            u = (int.from_bytes(h[8:16], "big") >> 11) / 2**53
+            out.append((key[0].as_py(), draw, ids[i], ids[j], (x[i] + u * (x[j] - x[i])).tolist()))
+        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+    part = rows.select(F.col(label).alias("c"), F.col(row_id).alias("i"), F.col(features).cast("array<double>").alias("x"))
+    i, c = (pa.int64() if kind[n] == "bigint" else pa.int32() if kind[n] == "int" else pa.string() for n in (row_id, label))
+    schema = pa.schema([("label", c), ("draw", pa.int64()), ("row_id", i), ("neighbour", i), ("x", pa.list_(pa.float64()))])
+    short = part.where(F.col("c").isin([c for c, n in sizes.items() if n < most]))
+    return short.groupBy("c").applyInArrow(fill, f"label {kind[label]}, draw long, row_id {kind[row_id]}, neighbour {kind[row_id]}, x array<double>")

@@ -78,13 +78,21 @@ def knockoff_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {LONG}, x as (select row_id, label, list(v order by f) x from m where label = 0 group by all), d as (select a.row_id i, b.row_id j, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1]-z[2])*(z[1]-z[2])))) d from x a join x b on a.row_id <> b.row_id),
  n as (select i, j, row_number() over (partition by i order by d, j) rk from d) select i as row_id, a.f, round((a.v+b.v)/2,6)+0.0 as v from n join m a on a.row_id=i join m b on b.row_id=j and b.f=a.f where rk = 1""")
 def interpolated_minority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic row half-way between each row of a class and its nearest neighbour there."""
+    """A synthetic row half-way between each row of class 0, which the SQL names, and its nearest neighbour there;
+    minority_synthesis fills all classes."""
     m = matrix(spark, sf_dir).where("label = 0")
     near = FO.distances(m).groupBy("i").agg(F.min_by("j", F.struct("d", "j")).alias("j"))
     a, b = m.select(F.col("row_id").alias("i"), "f", F.col("v").alias("va")), m.select(F.col("row_id").alias("j"), "f", F.col("v").alias("vb"))
     return near.join(a, "i").join(b, ["j", "f"]).select(F.col("i").alias("row_id"), "f", r6((F.col("va") + F.col("vb")) / 2).alias("v"))
 
 
+@query()
+def minority_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTE: synthetic rows between rows and their 5 nearest neighbours for every class, up to the largest one's size."""
+    s = TO.smote(table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long")), "vec_id", "label", "embedding", 5, 9)
+    return s.select("label", "draw", "row_id", "neighbour", F.posexplode("x").alias("f", "v")).select("label", "draw", "row_id", "neighbour", F.col("f").cast("long").alias("f"), r6("v").alias("v"))
+
+
 @query("with r as (select vec_id, label, row_number() over (partition by label order by sha256(concat_ws(':', cast(vec_id as varchar), '9')), vec_id) rk, count(*) over (partition by label) n from embeddings) select vec_id, cast(label as bigint) as label from r where rk <= greatest(1, round(0.3*n))")
 def stratified_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera import catalog
 from tessera.operators import features as FO
@@ -83,3 +84,30 @@ def test_linked_rows_over_many_steps(spark):
     chain += [(2**62 + i, None, None) for i in range(4)]
     got = TO.linked_rows(spark.createDataFrame(chain, "id long, x long, y long"), "id", ["x", "y"])
     assert {r.id: r.component for r in got.collect()} == union_find(chain)
+
+
+def test_minority_synthesis(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    x, label = {r.vec_id: np.array(r.embedding, float) for r in rows}, {r.vec_id: r.label for r in rows}
+    have = Counter(label.values())
+    made, bases = {}, {}
+    for r in catalog.QUERIES["minority_synthesis"](spark, sf_dir).collect():
+        made.setdefault((r.label, r.draw), {})[r.f] = r.v
+        bases[r.label, r.draw] = r.row_id, r.neighbour
+    assert {c: n + sum(k[0] == c for k in made) for c, n in have.items()} == dict.fromkeys(have, max(have.values()))
+    places = []
+    for key, v in made.items():
+        a, b = bases[key]
+        others = sorted((j for j in x if label[j] == key[0] and j != a), key=lambda j: (((x[j] - x[a]) ** 2).sum(), j))
+        assert label[a] == key[0] and b in others[:5] and sorted(v) == list(range(64))
+        step, way = np.array([v[f] for f in range(64)]) - x[a], x[b] - x[a]
+        u = float(step @ way / (way @ way))
+        assert 0 <= u < 1 + 1e-5 and np.abs(step - u * way).max() < 2e-6
+        places.append((u, others.index(b)))
+    assert len({p for _, p in places}) == 5 and max(u for u, _ in places) - min(u for u, _ in places) > 0.5
+
+
+def test_smote_needs_neighbours(spark):
+    few = spark.createDataFrame([(i, int(i > 5), [float(i)]) for i in range(8)], "i long, c long, x array<double>")
+    with pytest.raises(ValueError):
+        TO.smote(few, "i", "c", "x", 5, 1)
