@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import cut, parts, release
 from .tokens import unpack_ids
 
-#: Queues at most; sources beyond share queues by hash, the lightest ones first.
+#: Up to so many sources a worker holds the counts of all queues for its rounds; beyond, counts are joined from a table.
 QUEUES = 256
+#: Ids of a queue in a bucket of that join.
+BUCKET = 4096
 
 
 class Schedule:
@@ -72,10 +75,38 @@ class Schedule:
         return min(t, base[queue] + ((r - first) * self.length * self.weights[queue] // total if base[queue] < t else 0))
 
 
-def queue_of(sources: list[tuple[str | None, int]]) -> dict[str | None, int]:
-    """The heaviest QUEUES / 2 sources by ids, each with a queue of its own (named in order)."""
-    heavy = sorted(sources, key=lambda x: (-x[1], x[0] is not None, x[0] or ""))[: QUEUES // 2]
-    return {s: i for i, s in enumerate(sorted((s for s, _ in heavy), key=lambda s: (s is not None, s or "")))}
+def queue_of(sources: list[str | None]) -> dict[str | None, int]:
+    """A queue for each source, in order of the names."""
+    return {s: i for i, s in enumerate(sorted(sources, key=lambda s: (s is not None, s or "")))}
+
+
+def phases_by_weight(totals: list[int], weights: list[int], length: int) -> list[tuple[int, int, dict[int, int], int]]:
+    """The phases of Schedule for any number of queues: first round, rounds, sent before it by weight, sum of live
+    weights. Live queues of one weight have sent alike, so a phase is as long as there are different weights."""
+    ends = {w: sorted(t for t, x in zip(totals, weights, strict=True) if x == w and t) for w in set(weights)}
+    done, sent, r, out = dict.fromkeys(ends, 0), dict.fromkeys(ends, 0), 0, []
+    while live := [w for w in ends if done[w] < len(ends[w])]:
+        total = sum(w * (len(ends[w]) - done[w]) for w in live)
+        rounds = min(-(-(ends[w][done[w]] - sent[w]) * total // (length * w)) for w in live)
+        out.append((r, rounds, {w: sent[w] for w in live}, total))
+        for w in live:
+            sent[w] += rounds * length * w // total
+            while done[w] < len(ends[w]) and ends[w][done[w]] <= sent[w]:
+                done[w] += 1
+        r += rounds
+    return out
+
+
+def sendings(phases: list[tuple[int, int, dict[int, int], int]], total: int, weight: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(round, first id, ids) of each round that sends ids of a queue."""
+    for first, rounds, sent, live in phases:
+        base, step = sent.get(weight, total), length * weight
+        at, end = base, min(total, base + rounds * step // live)
+        while at < end:
+            g = -(-(at - base + 1) * live // step)
+            then = min(total, base + g * step // live)
+            yield first + g - 1, at, then - at
+            at = then
 
 
 def pack(tokens: DataFrame, length: int = 2048, mixture: Mapping[str, int] | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -91,28 +122,24 @@ def pack(tokens: DataFrame, length: int = 2048, mixture: Mapping[str, int] | Non
     spark = tokens.sparkSession
     t = cut(tokens.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), "h", "n", "z").withColumn("row", F.monotonically_increasing_id()))
     release(spark)
-    by_source = t.groupBy("s").agg(F.sum("n").alias("n"))
-    heavy = queue_of([(r.s, r.n) for r in by_source.orderBy(F.col("n").desc(), "s").limit(QUEUES // 2).collect()])
-    named = F.create_map(*[F.lit(x) for s, i in heavy.items() if s is not None for x in (s, i)]) if any(s is not None for s in heavy) else None
-    shared = F.lit(QUEUES // 2) + F.pmod(F.xxhash64("s"), F.lit(QUEUES // 2))
-    own = F.try_element_at(named, F.col("s")) if named is not None else F.lit(None)
-    queue: Column = F.coalesce(F.when(F.col("s").isNull(), F.lit(heavy.get(None))).otherwise(own), shared).cast("int")
-    light = t.select("row", queue.alias("q"), "k", "h", "n")
+    by_source = {r.s: r.n for r in t.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # a row for each source
+    place = queue_of(list(by_source))
+    named = spark.createDataFrame(list(place.items()), "named string, q int")
+    light = t.join(F.broadcast(named), F.col("s").eqNullSafe(F.col("named"))).select("row", "q", "k", "h", "n")
     order = [F.col("q"), F.col("k").asc_nulls_first(), F.col("h"), F.col("row")]
     dealt = cut(light.repartitionByRange(parts(spark), *order).withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("q", "part").agg(F.sum("n").alias("sum"))  # a row for each part and each queue it meets
-    totals = {r.q: r.n for r in sums.groupBy("q").agg(F.sum("sum").alias("n")).collect()}
-    queues = sorted(totals)
-    place = {q: i for i, q in enumerate(queues)}
-    weight: dict[int, int] = {}
-    for q in queues:
-        mine = [s for s, i in heavy.items() if i == q]
-        weight[q] = totals[q] if mixture is None else int(mixture.get(mine[0], 1)) if mine else 1
-    schedule = Schedule([totals[q] for q in queues], [weight[q] for q in queues], length)
+    totals = [by_source[s] for s in place]
+    weights = totals if mixture is None else [int(mixture.get(s, 1)) for s in place]
     ahead = sums.select("q", "part", (F.sum("sum").over(Window.partitionBy("q").orderBy("part")) - F.col("sum")).alias("ahead"))
     inside = F.sum("n").over(Window.partitionBy("q", "part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    placed = dealt.select("row", "q", "part", inside.alias("inside")).join(ahead, ["q", "part"]).select("row", "q", (F.col("inside") + F.col("ahead")).alias("at"))
+    placed = dealt.select("row", "q", "n", "part", inside.alias("inside")).join(ahead, ["q", "part"]).select("row", "q", "n", (F.col("inside") + F.col("ahead")).alias("at"))
     kinds = dict(t.dtypes)
+    shape = f"k {kinds['k']}, start long, length long, crc long, n long, seq long, off long, s string"
+    if len(place) > QUEUES:
+        out = _joined(t, placed, totals, weights, length, shape)
+        return _named(out, key)
+    schedule = Schedule(totals, weights, length)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -121,7 +148,7 @@ def pack(tokens: DataFrame, length: int = 2048, mixture: Mapping[str, int] | Non
 
     def cut_up(b: pa.RecordBatch) -> pa.RecordBatch:
         ids = [unpack_ids(z) for z in b.column("z").to_pylist()]
-        queue = [place[q] for q in b.column("q").to_pylist()]
+        queue = b.column("q").to_pylist()
         at = b.column("at").to_pylist()
         span = [(schedule.round_of(q, a), schedule.round_of(q, a + len(x) - 1)) for q, a, x in zip(queue, at, ids, strict=True)]
         rounds = np.unique(np.concatenate([np.arange(a, z + 2) for a, z in span])) if span else np.zeros(0, np.int64)
@@ -146,8 +173,62 @@ def pack(tokens: DataFrame, length: int = 2048, mixture: Mapping[str, int] | Non
         take = pa.array(which, pa.int64())
         return pa.record_batch([b.column("k").take(take), *columns, b.column("s").take(take)], ["k", "start", "length", "crc", "n", "seq", "off", "s"])
 
-    out = t.select("row", "k", "s", "z").join(placed, "row").select("k", "s", "z", "q", "at")
-    out = out.mapInArrow(pieces, f"k {kinds['k']}, start long, length long, crc long, n long, seq long, off long, s string")
+    out = t.select("row", "k", "s", "z").join(placed.drop("n"), "row").select("k", "s", "z", "q", "at")
+    return _named(out.mapInArrow(pieces, shape), key)
+
+
+def _joined(t: DataFrame, placed: DataFrame, totals: list[int], weights: list[int], length: int, shape: str) -> DataFrame:
+    """The pieces by a table of what each queue sends in each round: its prefix sums are the places in the sequences."""
+    spark = t.sparkSession
+    phases = phases_by_weight(totals, weights, length)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for q in b.column("q").to_pylist():
+                rows = sendings(phases, totals[q], weights[q], length)
+                while some := list(islice(rows, 1 << 14)):
+                    yield pa.record_batch([pa.array([q] * len(some), pa.int32()), *[pa.array(c, pa.int64()) for c in zip(*some, strict=True)]], ["q", "r", "begin", "m"])
+
+    queues = spark.range(len(totals)).select(F.col("id").cast("int").alias("q")).repartition(parts(spark), "q")
+    sent = queues.mapInArrow(counts, "q int, r long, begin long, m long")
+    sent = cut(sent.repartitionByRange(parts(spark), "r", "q").withColumn("part", F.spark_partition_id()))
+    sums = sent.groupBy("part").agg(F.sum("m").alias("sum"))
+    ahead = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("ahead"))  # a row for each part
+    inside = F.sum("m").over(Window.partitionBy("part").orderBy("r", "q").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    sent = sent.select("q", "begin", "m", "part", inside.alias("inside")).join(F.broadcast(ahead), "part").select("q", "begin", "m", (F.col("inside") + F.col("ahead")).alias("g"))
+    buckets = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor((F.col(a) + F.col(n) - 1) / BUCKET)))
+    mine = placed.where("n > 0").withColumn("bucket", buckets("at", "n"))
+    both = mine.join(sent.withColumn("bucket", buckets("begin", "m")), ["q", "bucket"])
+    start, end = F.greatest("at", "begin"), F.least(F.col("at") + F.col("n"), F.col("begin") + F.col("m"))
+    both = both.where((start < end) & (F.floor(start / BUCKET) == F.col("bucket")))
+    piece = F.struct((start - F.col("at")).alias("s"), (end - start).alias("m"), (F.col("g") + start - F.col("begin")).alias("g"))
+    listed = both.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 64):
+                yield cut_up(big.slice(lo, 64))
+
+    def cut_up(b: pa.RecordBatch) -> pa.RecordBatch:
+        which, rows = [], []
+        for i, (z, spans) in enumerate(zip(b.column("z").to_pylist(), b.column("pieces").to_pylist(), strict=True)):
+            x = unpack_ids(z)
+            raw = memoryview(x.astype("<u4")).cast("B")
+            for p in spans:
+                s, g, e = p["s"], p["g"], p["s"] + p["m"]
+                while s < e:
+                    m = min(e - s, length - g % length)
+                    which.append(i)
+                    rows.append((s, m, zlib.crc32(raw[4 * s : 4 * (s + m)]), len(x), g // length, g % length))
+                    s, g = s + m, g + m
+        columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 6)]
+        take = pa.array(which, pa.int64())
+        return pa.record_batch([b.column("k").take(take), *columns, b.column("s").take(take)], ["k", "start", "length", "crc", "n", "seq", "off", "s"])
+
+    return t.select("row", "k", "s", "z").join(listed, "row").select("k", "s", "z", "pieces").mapInArrow(pieces, shape)
+
+
+def _named(out: DataFrame, key: str) -> DataFrame:
     return out.select(
         F.col("k").alias(key), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), F.col("seq").alias("sequence_id"), F.col("off").alias("offset"), F.col("s").alias("source")
     )
