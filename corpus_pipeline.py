@@ -12,14 +12,14 @@ from tessera.llm.common import delete, lean_workers, read, scratch
 from tessera.llm.decontaminate import mark, remove
 from tessera.llm.neardup import near_components
 from tessera.llm.packing import pack
-from tessera.llm.substrings import repeated_bytes, without_bytes
+from tessera.llm.substrings import byte_runs, repeated_bytes, without_bytes
 from tessera.llm.toxicity import CUT, fit_chain, score
 from tessera.llm.queries import CATEGORIES
 from tessera.llm.tokens import token_rows
 from tessera.llm.windows import Spec
 
-#: Repeated strings of so many bytes are cut out: less than 50 words have, so that any such passage is found.
-REPEATS = Spec("byte", 240, 96, 16)
+#: Repeated strings of so many bytes are cut out, and repeated passages of over 50 words, which can be shorter in bytes.
+REPEATS, PASSAGES = Spec("byte", 240, 96, 16), Spec("word", 51, 32, 14)
 #: Documents of which more than this share stands in benchmark items go; from the others the spans are cut.
 COVERAGE = 0.5
 #: Pieces that a worker's tokenizer cache holds: fewer than in a job of its own, since workers of other stages wait beside it.
@@ -47,9 +47,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of REPEATS that stand in two places; every document stays."""
+    """Documents without the strings of REPEATS and the words of PASSAGES that stand in two places; every document stays."""
     lean_workers(spark)
-    return _counted(without_bytes(docs, repeated_bytes(docs, REPEATS), digest=False).select(*docs.columns))
+    runs = repeated_bytes(docs, REPEATS).unionByName(byte_runs(docs, repeated_bytes(docs, PASSAGES)))
+    return _counted(without_bytes(docs, runs, digest=False).select(*docs.columns))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, delete, parts, release, scratch
-from .windows import Spec, cut_out, highest, lowest, trigger_rows, window_rows
+from .common import SPACE_WORDS, cut, delete, packed, parts, release, scratch, slices, small_batches, word_bounds
+from .windows import SLICE, Spec, cut_out, highest, lowest, trigger_rows, union, window_rows
 
 #: Windows of 20 words, triggers from 14 places of 7 words; runs that the index keeps before it compacts them.
 WORDS, FANOUT = Spec("word", 20, 14, 7), 1
@@ -171,6 +172,30 @@ def repeated_bytes(docs: DataFrame, spec: Spec = BYTES, key: str = "doc_id", tex
     return out
 
 
+def byte_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, a, b: runs of words as the bytes from their first word's start to their last word's end."""
+    small_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for s in slices(big, "t", SLICE):
+                data, offsets = packed(s.column("t"))
+                starts, ends, first = word_bounds(data, offsets, SPACE_WORDS)
+                which, begin, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, x in enumerate(s.column("gone")):
+                    at = x.values.flatten()
+                    a, b = (np.minimum(r, first[i + 1] - first[i]) for r in union(np.asarray(at[0]), np.asarray(at[1])))
+                    a, b = a[a < b], b[a < b]  # a key that stands for several texts
+                    which.append(np.full(len(a), i))
+                    begin.append(starts[first[i] + a] - offsets[i])
+                    end.append(ends[first[i] + b - 1] - offsets[i])
+                yield pa.record_batch([s.column("k").take(pa.array(np.concatenate(which))), pa.array(np.concatenate(begin), pa.int64()), pa.array(np.concatenate(end), pa.int64())], ["k", "a", "b"])
+
+    gone = runs.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("gone"))  # one text's runs
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null").join(gone, "k")
+    return texts.mapInArrow(rows, f"k {dict(docs.dtypes)[key]}, a long, b long")
+
+
 def without_bytes(docs: DataFrame, runs: DataFrame, digest: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the bytes of the runs; with `digest`, n_bytes, n_removed, n_spans and kept_sha256 instead of the text.
     A text keeps whole characters: one that would lose some of its bytes stays whole (digests are of the exact bytes)."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from tessera.llm import packing
 from tessera.llm.tokens import token_rows
@@ -55,3 +55,16 @@ def test_phases_by_weight():
         for q, (t, w) in enumerate(zip(totals, weights, strict=True)):
             want = [(r, int(sent[r, q]), int(sent[r + 1, q] - sent[r, q])) for r in np.flatnonzero(np.diff(sent[:, q]))]
             assert list(packing.sendings(phases, t, w, 64)) == want
+
+
+def test_short_words_of_a_passage_are_cut(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join(f"{rnd.randrange(10**6):06}" for _ in range(n))
+    short = lambda n: " ".join(rnd.choice("abcdefgh") + rnd.choice("éxyz12345") for _ in range(n))
+    long, near = short(51), short(50)
+    assert len(long.encode()) < 240
+    docs = [(1, f"é {words(30)} {long} {words(30)}"), (2, f"{words(9)}\n{long}\t{words(60)}"), (3, f"{words(30)} {near} {words(9)}"), (4, f"{words(20)} {near} {words(9)}"), (5, None), (6, ""), (None, long)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, frame, "").collect()}
+    assert got[1] == docs[0][1].replace(long, "") and got[2] == docs[1][1].replace(long, "")
+    assert all(got[i] == t for i, t in docs[2:])
