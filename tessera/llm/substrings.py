@@ -1,4 +1,4 @@
-"""Substring deduplication: an index of sorted runs over words, and prefix-free parsing over bytes."""
+"""Substring deduplication: an index of sorted runs over words, and grouped window hashes over words or bytes."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from .windows import SLICE, Spec, cut_out, highest, lowest, trigger_rows, union,
 
 #: Windows of 20 words, triggers from 14 places of 7 words; runs that the index keeps before it compacts them.
 WORDS, FANOUT = Spec("word", 20, 14, 7), 1
-#: Windows of 400 bytes, phrases of at most 128 bytes between triggers of 16.
+#: Windows of 400 bytes, triggers from 128 places of 16 bytes.
 BYTES = Spec("byte", 400, 128, 16)
 
 
@@ -142,11 +142,10 @@ def without_words(docs: DataFrame, runs: DataFrame, digest: bool, key: str = "do
 def repeated_bytes(docs: DataFrame, spec: Spec = BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, a, b: runs of bytes of the documents that 400-byte strings with another occurrence cover.
 
-    Prefix-free parsing: rolling-hash triggers cut the texts into phrases of at most 128 bytes. The parse's suffixes are
-    brought into the order of the bytes from each trigger on, to the depth that a window needs, and with it the phrase
-    suffix before the trigger: equal stretches become neighbours and are taken whole. Where neighbours differ, the
-    suffixes of the phrases in question are put in order one by one with what follows them. Orders are of hashes, not of
-    letters, since only equal neighbours matter.
+    This is not prefix-free parsing: no dictionary of phrases, parse or suffix array is built. Windows are grouped by their
+    triggers, the smallest rolling hash among their first places, and rows with equal hashes of the whole stretch are
+    taken whole; where rows that share a trigger's hash differ, their windows are hashed and compared one by one. Finding
+    repeats needs equal windows together, but no order. Results are exact up to 64-bit hashes.
 
     A repeated key stands for one document and is no other occurrence of itself. Rows with a null key have no runs and
     are no occurrences. Empty tables and texts have none."""
