@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -70,6 +71,16 @@ def lean_workers(spark: SparkSession) -> None:
         env[name] = value
 
 
+def trim() -> None:
+    """Give freed memory of this process back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows whose text comes to about `most` bytes."""
     n = batch.num_rows

@@ -43,7 +43,7 @@ def op2_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_deficit_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), leading=True, end=1, keep=["doc_id", "source"]))
+    return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), end=1, keep=["doc_id", "source"]))
 
 
 def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_canonical_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch(spark, "ids")
-    write_ids(cut(token_rows(docs, public_tokenizers.path("word_bpe_49k.json"), leading=False, end=2, keep=["doc_id"])), path)
+    write_ids(cut(token_rows(docs, public_tokenizers.path("word_bpe_49k.json"), end=2, keep=["doc_id"])), path)
     release(spark)
     return read_ids(spark, path)
 

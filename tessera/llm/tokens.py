@@ -1,7 +1,8 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of the pieces between spaces."""
+"""Token ids of whole texts by a tokenizers file: by a merge loop over the file's vocabulary where that gives the library's ids."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -13,16 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
-
-#: Pieces of a generation that a worker keeps (the one before it is kept as well), and the longest in characters.
-CACHE, LONGEST = 1_200_000, 48
-
-
-#: A word of plain letters (single code points in normal form, with one in lower case), and a mark after it, which is a
-#: piece of its own to every rule.
-TAILS = ".,;:!?"
-WORD = re.compile(rf"([A-Za-zÀ-ÖØ-öø-įı-ɏ]{{1,{LONGEST}}})([{TAILS}]?)")
+from .common import slices, small_batches, trim
 
 
 def _byte_characters() -> dict[int, str]:
@@ -32,108 +24,126 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-BYTE_CHARACTERS = _byte_characters()
-
-
-class PieceCoder:
-    """Encodes texts piece by piece, each piece by the tokenizer file's own rules.
-
-    Texts are cut before spaces that follow something else than white space. Neither tokenizer family has a token or a
-    normalisation that reaches across such a place, so the pieces' ids in a row are the whole text's. `leading`: a space
-    belongs to the word after it (byte-level vocabularies); else white space is dropped. Where a space follows white
-    space, pieces of a leading coder are cut with a pattern instead. Special tokens' strings are ordinary text."""
-
-    #: A space after white space; and the places to cut in a text with such spaces.
-    ODD, CUT = re.compile(r"\s "), re.compile(r"(?<=[!-~\w])(?= )")
-
-    def __init__(self, path: str, leading: bool):
+BYTE_OF = {c: bytes([b]) for b, c in ({b: chr(b) for b in range(256)} | _byte_characters()).items()}
+
+# Fixed values of the two families of files: the pattern of byte-level pre-tokenizers, and what a word file does to a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_NORMAL = ["NFC", r"Replace \s+", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+#: Texts on which the merge loop must give the library's ids, beside every token of the file; else the library does all.
+PROOF = (
+    "It's a test, isn't it? Yes!! 12 345.6 foo_bar (baz) <a href=\"x\">", "Déjà  vu\n\nÜber\tÇa   va \r\n fin ", "\nfirst line\nsecond line.\nThird%%% line###", " lead, trail ",
+    "日本語 текст عربى ΕΛΛΗΝΙΚΆΣ 😀 e\u0301te\u0301 \xa0nbsp\u3000wide", "we'll they're I'm you'd he's '' 'quoted' don't.stop", "<|endoftext|> <|startoftext|> a\x1cb\x85c", "...!?!... --- *** https://x.y/z?a=1&b=2 UPPER lower MiXed", "",
+)
+#: A run of white space on which the merge loop's pattern could run out of stack.
+SPACES = 20_000
+BLANK = re.compile(rf"\s{{{SPACES}}}")
+#: What keeps a text from the word files' merge loop: characters that a normal form, case or the library's white space
+#: could treat in a way of their own.
+SPECIAL = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]")
+#: The parts of a word that isn't of letters alone, in ASCII; and the letters up to U+024F (fixed values).
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
+
+
+class TextCoder:
+    """Encodes texts by a tokenizers file.
+
+    The library itself finds a byte-pair file's ids slowly. Where the file is of a known family (byte-level, or words with
+    an end mark, ids in order of the merges), tiktoken's merge loop runs over the file's own vocabulary: on all texts of a
+    byte-level file, and on the texts of a word file that are Latin letters, ASCII digits and ASCII marks. All other texts,
+    runs of 20,000 blanks, and files that break PROOF go to the library. Special tokens' strings are ordinary text.
+    Ids have 16 bits; a larger vocabulary raises ValueError."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: over 65,536 ids")
         self.tokenizer.encode_special_tokens = True
-        self.leading, self.model, self.cache = leading, self.tokenizer.model, CACHE
-        self.tails = {"": b"", **dict(zip(TAILS, self.raw(list(TAILS)), strict=True))}
-        # pieces as they are, and pieces after a space that isn't part of the key; with the generation before
-        self.known: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        self.old_known: dict[str, bytes] = {}
-        self.old_after: dict[str, bytes] = {}
-
-    def raw(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("H", e.ids).tobytes() for e in found]
-
-    def pieces(self, text: str) -> tuple[list[str], bool]:
-        """The pieces, and whether they stand without the space before them (all but the first had one)."""
-        if not self.leading:
-            return text.split(" "), False
-        if self.ODD.search(text):
-            return self.CUT.split(text), False
-        return text.split(" "), True
+        self.merge, self.words = None, False
+        with open(path, encoding="utf-8") as f:
+            self._prepare(json.load(f))
+        proof = [*PROOF, " ".join(t.replace(WORD_END, "").replace("Ġ", " ") for t in self.tokenizer.get_vocab())]
+        if self.merge and self.encode(proof) != self.library(proof):
+            self.merge = None
+
+    def _prepare(self, file: dict) -> None:
+        import tiktoken
+
+        model = file["model"]
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return
+        before, normal = file["pre_tokenizer"] or {}, file["normalizer"]
+        end = model.get("end_of_word_suffix") or ""
+        if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not normal and not end:
+            pattern = BYTE_LEVEL
+        elif end == WORD_END and before.get("type") == "Sequence" and normal and normal.get("type") == "Sequence":
+            done = [x["type"] + (" " + x["pattern"].get("Regex", "") if "pattern" in x else "") for x in normal["normalizers"]]
+            split, *rest = before["pretokenizers"]
+            if done != WORD_NORMAL or split.get("pattern") != {"Regex": WORD_PATTERN} or [x["type"] for x in rest] != ["ByteLevel"]:
+                return
+            pattern, self.words = "[^ ]+ ", True  # a word's end mark is the space after it
+        else:
+            return
+        vocabulary, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        first = 512 if end else 256
+        if any(vocabulary.get(a + b) != first + i for i, (a, b) in enumerate(merges)):
+            return
+        ranks = {}
+        for token, i in vocabulary.items():
+            if i < first + len(merges):
+                mark = end and token.endswith(end)
+                ranks[b"".join(BYTE_OF[c] for c in (token.removesuffix(end) if mark else token)) + (b" " if mark else b"")] = i
+        self.merge = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
-        if len(self.after) + len(self.known) > self.cache:
-            self.old_known, self.old_after = self.known, self.after
-            self.known, self.after = {}, {}
-        known, after = self.known, self.after
-        cut, lacking, lacking_after = [], set(), set()
-        for text in texts:
-            pieces, bare = self.pieces(text)
-            ids = [*map((after if bare else known).get, pieces)]
-            if bare:
-                ids[0] = known.get(pieces[0])
-                if ids[0] is None:
-                    lacking.add(pieces[0])
-            gaps, i = [], int(bare) - 1
-            for _ in range(ids.count(None) - int(bare and ids[0] is None)):
-                i = ids.index(None, i + 1)
-                gaps.append(i)
-            (lacking_after if bare else lacking).update([pieces[i] for i in gaps])
-            cut.append((pieces, bare, ids, gaps))
-        new = self.learn(lacking, known, self.old_known, "")
-        new_after = self.learn(lacking_after, after, self.old_after, " ")
-        out = []
-        for pieces, bare, ids, gaps in cut:
-            learnt = new_after if bare else new
-            for i in gaps:
-                ids[i] = learnt[pieces[i]]
-            if ids[0] is None:
-                ids[0] = new[pieces[0]]
-            out.append(b"".join(ids))
+        out, left = [], []
+        for i, text in enumerate(texts):
+            plain = text if self.merge and (len(text) < SPACES or not BLANK.search(text)) else None
+            if plain and self.words:
+                plain = spaced(plain)
+            if plain is None:
+                left.append(i)
+                out.append(b"")
+            else:
+                out.append(array("H", self.merge(plain)).tobytes())
+        for i, ids in zip(left, self.library([texts[i] for i in left]), strict=True):
+            out[i] = ids
         return out
 
-    def learn(self, lacking: set[str], known: dict[str, bytes], old: dict[str, bytes], space: str) -> dict[str, bytes]:
-        """The ids of the lacking pieces; short ones are known from now on."""
-        found = {p: old[p] for p in lacking if p in old}
-        rest = [p for p in lacking if p not in found]
-        shape = [*map(WORD.fullmatch, rest)]
-        words = {m[1] if self.leading else m[1].lower() for m in shape if m}
-        new = [w for w in words if w not in known]
-        if new:
-            # a word of plain letters is left whole, but for its case, by every rule before the model
-            mapped = (space + ("\n" + space).join(new)).encode().decode("latin-1").translate(BYTE_CHARACTERS).split(BYTE_CHARACTERS[10])
-            tokenize = self.model.tokenize
-            known.update(zip(new, [array("H", [t.id for t in tokenize(w)]).tobytes() for w in mapped], strict=True))
-        other = []
-        for p, m in zip(rest, shape, strict=True):
-            if m:
-                found[p] = known[m[1] if self.leading else m[1].lower()] + self.tails[m[2]]
-            else:
-                other.append(p)
-        found.update(zip(other, self.raw([space + p for p in other] if space else other), strict=True))
-        known.update([(p, x) for p, x in found.items() if len(p) <= LONGEST])
-        return found
 
+def spaced(text: str) -> str | None:
+    """The parts that a word file cuts a text into, in lower case and each with a space after it; None where the text has
+    characters besides Latin letters, ASCII digits and ASCII marks."""
+    if SPECIAL.search(text):
+        return None
+    words = text.lower().split()
+    for i, w in enumerate(words):
+        if not w.isalpha():
+            parts = PARTS.findall(w)
+            if sum(map(len, parts)) != len(w):
+                return None
+            words[i] = " ".join(parts)
+    words.append("")
+    return " ".join(words)
 
-_coders: dict[tuple[str, bool], PieceCoder] = {}
 
+_coders: dict[str, TextCoder] = {}
 
-def coder(path: str, leading: bool) -> PieceCoder:
-    if (path, leading) not in _coders:
-        _coders[path, leading] = PieceCoder(path, leading)
-    return _coders[path, leading]
+
+def coder(path: str) -> TextCoder:
+    if path not in _coders:
+        _coders[path] = TextCoder(path)
+    return _coders[path]
 
 
 _pack = zstandard.ZstdCompressor(level=1)
@@ -147,21 +157,30 @@ def unpack_ids(z: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(z), "<u2")
 
 
-def token_rows(docs: DataFrame, path: str, leading: bool, end: int, keep: list[str], text: str = "text", cache: int = CACHE) -> DataFrame:
+def token_rows(docs: DataFrame, path: str, end: int, keep: list[str], text: str = "text", release: bool = False) -> DataFrame:
     """keep..., h, n, z: the ids of each text with `end` after them, as packed unsigned 16-bit integers; n counts them,
-    h is a hash of the text that orders repeated keys. Null text: `end` alone. The vocabulary has at most 65,536 ids."""
+    h is a hash of the text that orders repeated keys. The vocabulary has at most 65,536 ids, or a ValueError is raised.
+
+    Null or empty text: `end` alone. Very long texts are encoded whole, alone in their slice. Repeated rows and null keys:
+    a row each. Empty table: no rows. Columns that aren't kept are ignored, whatever their names. release: a worker drops
+    the tokenizer after each task, for jobs in which workers of other stages wait beside it."""
     small_batches(docs.sparkSession)
     tail = np.array([end], "<u2").tobytes()
     kinds = dict(docs.dtypes)
+    own = [f"_{i}" for i in range(len(keep))]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, leading)
-        c.cache = cache
+        c = coder(path)
         for big in batches:
             for b in slices(big, "t", 1 << 20):
                 ids = [x + tail for x in c.encode([x or "" for x in b.column("t").to_pylist()])]
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
-                yield pa.record_batch([*[b.column(k) for k in keep], b.column("h"), n, pa.array([pack_ids(x) for x in ids], pa.binary())], [*keep, "h", "n", "z"])
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", h long, n long, z binary"
-    return docs.select(*keep, F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(encoded, schema)
+                yield pa.record_batch([*[b.column(k) for k in own], b.column("h"), n, pa.array([pack_ids(x) for x in ids], pa.binary())], [*own, "h", "n", "z"])
+        if release:
+            _coders.clear()
+            del c
+            trim()
+
+    schema = ", ".join(f"{o} {kinds[k]}" for o, k in zip(own, keep, strict=True)) + ", h long, n long, z binary"
+    rows = docs.select(*[F.col(k).alias(o) for o, k in zip(own, keep, strict=True)], F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(encoded, schema)
+    return rows.select(*[F.col(o).alias(k) for o, k in zip(own, keep, strict=True)], "h", "n", "z")

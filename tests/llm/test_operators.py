@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
+import pathlib
 import random
 import re
 import zlib
@@ -180,16 +182,32 @@ def test_huffman_round_trip(n):
     assert back.tolist() == ids.tolist() and sizes.tolist() == [n]
 
 
-@pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_pieces_give_the_tokenizers_ids(name, leading):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_the_librarys(spark, sf_dir, name):
     rnd = random.Random(2)
-    some = ["a", "B", "word", "Été,", "İ", "'s", " ", "  ", "\n", "\t", "é", "́", "\x85", "\xa0", "　", "1", "23", "...", "<|endoftext|>", "Σς", "漢", "😀", "\x1c", "re", "don't", "x" * 70]
-    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
-    c = tokens.PieceCoder(public_tokenizers.path(name), leading)
+    some = ["a", "B", "word", "Été,", "İ", "'s", " ", "  ", "\n", "\t", "é", "\u0301", "\x85", "\xa0", "\u3000", "1", "23", "²", "½x", "...", "<|endoftext|>", "Σς", "漢", "😀", "\x1c", "re", "don't", "x" * 70, "«", "ª", "ǅ", "_", "\x00"]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 25))) for _ in range(6000)] + ["y" * 300_000, "z " * 3000, " " * 300_000, "\n " * 9000 + "x", "=" * 20_000]
+    texts += ["".join(chr(rnd.choice([rnd.randrange(32, 0x250), rnd.randrange(0xD800), 32, 10])) for _ in range(40)) for _ in range(3000)]
+    texts += [r.text or "" for r in spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet").collect()]
+    c = tokens.TextCoder(public_tokenizers.path(name))
+    assert c.merge
     want = c.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(x, "<u2").tolist() for x in c.encode(texts)] == [e.ids for e in want]
 
 
+def test_other_files_go_to_the_library(tmp_path):
+    """A file whose ids aren't in the order of its merges, and one with another pattern."""
+    file = json.loads(pathlib.Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    merges = file["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    (tmp_path / "a.json").write_text(json.dumps(file))
+    file["pre_tokenizer"] = {"type": "Whitespace"}
+    (tmp_path / "b.json").write_text(json.dumps(file))
+    for f in ("a.json", "b.json"):
+        c = tokens.TextCoder(str(tmp_path / f))
+        assert c.merge is None and c.encode([*tokens.PROOF]) == c.library([*tokens.PROOF])
+
+
 def test_op6(spark, corpus):
     docs = spark.createDataFrame([*corpus, (502, corpus[3][1]), (None, "n")], "doc_id long, text string")
     rows = shard.shard_by_size(docs.withColumnRenamed("text", "text")).collect()

@@ -14,7 +14,7 @@ from tessera.llm.tokens import token_rows
 
 def packed(spark, docs, length, mixture=None):
     frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
-    return packing.pack(token_rows(frame, public_tokenizers.path("byte_bpe_50k.json"), leading=True, end=1, keep=["doc_id", "source"]), length, mixture)
+    return packing.pack(token_rows(frame, public_tokenizers.path("byte_bpe_50k.json"), end=1, keep=["doc_id", "source"]), length, mixture)
 
 
 def test_every_source_has_its_queue(spark):
