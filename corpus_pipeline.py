@@ -22,8 +22,6 @@ from tessera.llm.windows import Spec
 REPEATS, PASSAGES = Spec("byte", 240, 96, 16), Spec("word", 51, 32, 14)
 #: Documents of which more than this share stands in benchmark items go; from the others the spans are cut.
 COVERAGE = 0.5
-#: Pieces that a worker's tokenizer cache holds: fewer than in a job of its own, since workers of other stages wait beside it.
-PIECES = 200_000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -62,7 +60,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids in the proportions of the sources."""
     lean_workers(spark)
-    return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), leading=True, end=1, keep=["doc_id", "source"], cache=PIECES))
+    return pack(token_rows(docs, public_tokenizers.path("byte_bpe_50k.json"), end=1, keep=["doc_id", "source"], release=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
