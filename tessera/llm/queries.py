@@ -15,7 +15,7 @@ from .huffman import read_ids, write_ids
 from .neardup import near_components
 from .packing import pack
 from .shard import shard_by_size
-from .substrings import repeated_bytes, repeated_words, without_bytes, without_words
+from .substrings import PASSAGES, covered_units, repeated_bytes, repeated_words, without_bytes, without_words
 from .tokens import token_rows
 from .toxicity import CUT, fit_chain, score
 from .warc import read_archives, write_archives
@@ -69,7 +69,9 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_bytes(docs, repeated_bytes(docs), digest=True)
+    passages = covered_units(repeated_bytes(docs, PASSAGES)).select(F.col("k").alias("doc_id"), F.col("n").alias("passage_words"))
+    found = without_bytes(docs, repeated_bytes(docs), digest=True).join(passages, "doc_id", "left")
+    return found.withColumn("passage_words", F.coalesce("passage_words", F.lit(0)))  # in passages of over 50 words that stand elsewhere too
 
 
 def op8_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:

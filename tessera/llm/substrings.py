@@ -1,88 +1,158 @@
-"""Substring deduplication: an index of sorted runs over words, and grouped window hashes over words or bytes."""
+"""Substring deduplication: a log-structured index of sorted runs over words, and grouped window hashes over words or bytes."""
 
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, cut, delete, packed, parts, release, scratch, slices, small_batches, word_bounds
 from .windows import SLICE, Spec, cut_out, highest, lowest, trigger_rows, union, window_rows
 
-#: Windows of 20 words, triggers from 14 places of 7 words; runs that the index keeps before it compacts them.
-WORDS, FANOUT = Spec("word", 20, 14, 7), 1
+#: Windows of 20 words, triggers from 14 places of 7 words; runs of one level that are compacted into one of the next.
+WORDS, FANOUT = Spec("word", 20, 14, 7), 2
 #: Windows of 400 bytes, triggers from 128 places of 16 bytes.
 BYTES = Spec("byte", 400, 128, 16)
+#: Passages of over 50 words, which can have less than 400 bytes.
+PASSAGES = Spec("word", 51, 32, 14)
+
+
+def _covered(judged: DataFrame, texts: DataFrame, spec: Spec, earlier: bool, key: str, text: str) -> DataFrame:
+    """k, a, b: runs of units of the new rows of judged (k, g, c, at, new) that windows with another occurrence cover, or
+    with an earlier one (old rows come before new ones, then keys and places count).
+
+    Rows equal in (g, c) hold equal windows throughout; an aggregate finds the first of each class, and a join gives it
+    back to its rows. Classes that share g are contested: their first rows' windows are hashed one by one, and aggregates
+    on (g, window) find equal ones. No window function and no list gathers a group, so a passage that a third of all
+    documents hold is summed before the shuffle and its rows can be split over tasks."""
+    spark = judged.sparkSession
+    me = F.struct("new", "k", "at")
+    classes = cut(judged.groupBy("g", "c").agg(F.min(me).alias("first"), F.max(me).alias("last")))
+    many = F.col("first") != F.col("last")
+    rows = judged.where("new").join(classes.where(many).select("g", "c", "first"), ["g", "c"])
+    whole = (rows.where(me != F.col("first")) if earlier else rows).select("k", lowest(F.col("at")).alias("a"), (highest(F.col("at")) + spec.window).alias("b"))
+    heads = classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("last.new").alias("any")).where("lo <> hi and any").select("g")
+    wanted = classes.join(heads, "g", "left_semi").select("first.k", "g", "first.at", "first.new", many.alias("many"))
+    single = cut(window_rows(texts, wanted, spec, ["new", "many"], key, text))
+    release(spark)
+    one = F.struct("new", "k", "start")
+    equal = single.groupBy("g", "h").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last").select("g", "h", "first")
+    shared = single.where("new" if earlier else "not many").join(equal, ["g", "h"])
+    shared = (shared.where(one != F.col("first")) if earlier else shared).select("k", F.col("start").alias("a"), (F.col("start") + spec.window).alias("b"))
+    out = cut(whole.union(shared))
+    release(spark)
+    return out
 
 
 class FingerprintIndex:
-    """A log-structured index of the windows seen so far, for deduplication batch by batch.
+    """A log-structured index of the windows seen so far, for deduplication batch by batch and job by job.
 
-    Each batch leaves an immutable run: the first row of every class of windows (see windows.py), sorted by fingerprint
-    g, written under the shared folder. A new batch is merged with the runs in the order of g. A row whose class the
-    history has, or that comes later in the batch, is removed whole. Where a new class shares g with others, it is
-    verified: the single windows of these classes' first rows, old ones read again from `history`, are compared.
-    Over FANOUT runs are compacted into one before the next batch."""
+    A run under `path` is immutable: the first row (g, c, k, at) of each class of windows of a batch (see windows.py), in
+    buckets by fingerprint g, each sorted by (g, c). A new batch's classes get the same buckets, so that runs are
+    merge-joined with them where they lie, without a shuffle of the index. Classes that the history has, or that come
+    later in the batch, are removed whole; where classes differ but share g, their single windows are verified, old ones
+    read again from `history`. FANOUT runs of one level are compacted into one of the next, so that each row is rewritten
+    a logarithmic number of times. An index on an existing path goes on where it was left."""
 
-    def __init__(self, spark: SparkSession, spec: Spec = WORDS, key: str = "doc_id", text: str = "text"):
+    def __init__(self, spark: SparkSession, path: str | None = None, spec: Spec = WORDS, key: str = "doc_id", text: str = "text"):
         self.spark, self.spec, self.key, self.text = spark, spec, key, text
-        self.runs: list[str] = []
-
-    def _read(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
+        self.path = path or scratch(spark, "index")
+        self.runs: list[tuple[str, int, str]] = []  # table, level, folder
+        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = jvm.Path(self.path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+        self.next, self.buckets = 0, parts(spark)
+        for name in names:
+            found = re.fullmatch(r"run-(\d+)-(\d+)-(\d+)", name)
+            if found and fs.exists(jvm.Path(f"{self.path}/{name}/_SUCCESS")):  # others are leavings of a lost job
+                number, level, self.buckets = map(int, found.groups())
+                self.next = number + 1
+                self.runs.append((self._open(f"{self.path}/{name}", self.buckets), level, f"{self.path}/{name}"))
+
+    def _open(self, folder: str, buckets: int) -> str:
+        name = f"tessera_run_{uuid.uuid4().hex}"
+        columns = ", ".join(f"{c} {t}" for c, t in self.spark.read.parquet(folder).dtypes)
+        self.spark.sql(f"create table {name} ({columns}) using parquet clustered by (g) sorted by (g, c) into {buckets} buckets location '{folder}'")
+        return name
+
+    def _write(self, classes: DataFrame, level: int) -> str:
+        """A run of the classes, added to the index; its table."""
+        name, folder = f"tessera_run_{uuid.uuid4().hex}", f"{self.path}/run-{self.next:09}-{level}-{self.buckets}"
+        self.next += 1
+        rows = classes.select("g", "c", "k", "at").repartition(self.buckets, "g")
+        rows.write.format("parquet").option("path", folder).option("compression", "zstd").bucketBy(self.buckets, "g").sortBy("g", "c").saveAsTable(name)
+        self.runs.append((name, level, folder))
+        return name
+
+    def _drop(self, run: tuple[str, int, str]) -> None:
+        self.runs.remove(run)
+        self.spark.sql(f"drop table if exists {run[0]}")
+        delete(self.spark, run[2])
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            old, path = list(self.runs), scratch(self.spark, "run")
-            self._read().repartition(parts(self.spark), "g").sortWithinPartitions("g", "c").write.option("compression", "zstd").parquet(path)
-            self.runs = [path]
-            for p in old:
-                delete(self.spark, p)
+        """Merge the newest runs of a level while there are FANOUT of it: the first row of each class stays."""
+        while len(same := [r for r in self.runs if r[1] == self.runs[-1][1]]) >= FANOUT:
+            rows = self.spark.table(same[0][0])
+            for r in same[1:]:
+                rows = rows.unionByName(self.spark.table(r[0]))
+            first = rows.repartition(self.buckets, "g").groupBy("g", "c").agg(F.min(F.struct("k", "at")).alias("x"))
+            self._write(first.select("g", "c", "x.k", "x.at"), same[0][1] + 1)
+            for r in same:
+                self._drop(r)
             release(self.spark)
 
-    def ingest(self, batch: DataFrame, history: DataFrame | None = None, last: bool = False) -> DataFrame:
-        """k, a, b: runs of units of the batch's documents that windows with an earlier start cover. history: the
-        documents of earlier batches, whose keys are all smaller. last: no run is written, since no batch follows."""
-        if len(self.runs) > FANOUT:
-            self.compact()
-        rows = trigger_rows(batch, self.spec, self.key, self.text).withColumn("new", F.lit(True))
-        if self.runs:
-            rows = rows.unionByName(self._read().withColumn("new", F.lit(False)))
-        same = Window.partitionBy("g", "c").orderBy("new", "k", "at")
-        group = Window.partitionBy("g")
-        rows = rows.repartition(parts(self.spark), "g").withColumn("nth", F.row_number().over(same))
-        fresh = F.col("new") & (F.col("nth") == 1)
-        rows = rows.withColumn("contested", (F.min("c").over(group) != F.max("c").over(group)) & F.max(fresh).over(group))
-        # of old rows only those that are compared again; of new rows those that are removed or begin a class
-        judged = rows.where(F.col("new") | F.col("contested")).select("k", "g", "c", "at", "new", "nth", "contested")
-        path = scratch(self.spark, "judged")
-        judged.write.option("compression", "zstd").parquet(path)
+    def ingest(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """k, a, b: runs of units of the batch's documents that windows with an earlier start cover; the batch is in the
+        index then. history: the documents of earlier batches, whose keys are all smaller.
+
+        Rows with a null key have no runs and aren't indexed; a repeated key stands for one document. An empty batch, and
+        null or short texts, leave no rows."""
+        path = scratch(self.spark, "rows")
+        trigger_rows(batch.where(F.col(self.key).isNotNull()), self.spec, self.key, self.text).write.option("compression", "zstd").parquet(path)
+        rows = self.spark.read.parquet(path)
+        older = list(self.runs)
+        classes = rows.groupBy("g", "c").agg(F.min(F.struct("k", "at")).alias("x"), F.count("*").alias("n"))
+        new = self.spark.table(self._write(classes.select("g", "c", "x.k", "x.at"), 0))
         release(self.spark)
-        judged = self.spark.read.parquet(path)
-        whole = judged.where("new and nth > 1").select("k", lowest(F.col("at")).alias("a"), (highest(F.col("at")) + self.spec.window).alias("b"))
-        wanted = judged.where("contested and nth = 1").select("k", "g", "at", "new")
-        texts = batch if history is None else history.select(self.key, self.text).unionByName(batch.select(self.key, self.text))
-        single = window_rows(texts, wanted, self.spec, ["new"], self.key, self.text)
-        first = F.min(F.struct("new", "k", "start")).over(Window.partitionBy("g", "h"))
-        later = single.withColumn("first", first).where(F.col("new") & (F.struct("new", "k", "start") != F.col("first")))
-        out = cut(whole.union(later.select("k", F.col("start").alias("a"), (F.col("start") + self.spec.window).alias("b"))))
-        if not last:
-            self.runs.append(scratch(self.spark, "run"))
-            kept = judged.where("new and nth = 1").select("k", "g", "c", "at")
-            kept.write.option("compression", "zstd").parquet(self.runs[-1])
+        # fingerprints of which the batch or the history has more than one row; the index itself isn't shuffled
+        own = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+        judged = rows.select("k", "g", "c", "at", F.lit(True).alias("new"))
+        if older:
+            met = None
+            for name, _, _ in older:
+                old = self.spark.table(name).join(new.select("g"), "g", "left_semi").select("k", "g", "c", "at", F.lit(False).alias("new"))
+                met = old if met is None else met.unionByName(old)
+            met = cut(met)
+            own = own.union(met.select("g")).distinct()
+        judged = judged.join(own, "g", "left_semi")
+        judged = cut(judged.unionByName(met) if older else judged)
         delete(self.spark, path)
         release(self.spark)
+        texts = batch.select(self.key, self.text)
+        out = _covered(judged, texts if history is None else history.select(self.key, self.text).unionByName(texts), self.spec, True, self.key, self.text)
+        if not self.spark.table(self.runs[-1][0]).take(1):  # a run without rows has no files
+            self._drop(self.runs[-1])
+        else:
+            self.compact()
         return out
 
-    def close(self) -> None:
-        for p in self.runs:
-            delete(self.spark, p)
-        self.runs = []
+    def close(self, keep: bool = False) -> None:
+        """Forget the tables; the files go too unless they are kept for a later job."""
+        for run in list(self.runs):
+            if keep:
+                self.spark.sql(f"drop table if exists {run[0]}")
+                self.runs.remove(run)
+            else:
+                self._drop(run)
+        if not keep:
+            delete(self.spark, self.path)
 
 
 def repeated_words(docs: DataFrame, batches: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,20 +160,21 @@ def repeated_words(docs: DataFrame, batches: int = 3, key: str = "doc_id", text:
     documents into a fresh index in `batches` batches of ascending keys.
 
     A repeated key stands for one document; its rows are alike or share the runs of both. Rows with a null key have no
-    runs, and other documents' windows are not compared with theirs. Empty tables and texts have none."""
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark, key=key, text=text)
+    runs, and other documents' windows are not compared with theirs. Empty tables, null, empty and short texts have none;
+    very long texts are hashed whole, a stretch at a time. Other columns are ignored, whatever their names."""
+    index = FingerprintIndex(docs.sparkSession, key=key, text=text)
+    docs = docs.select(key, text)
     shares = [i / batches for i in range(1, batches)]
     bounds = sorted(set((docs.agg(F.percentile_approx(key, shares, 10_000)).first()[0] if shares else None) or []))
     edges = [None, *bounds, None]
     found = None
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        batch, before = docs.where(F.col(key).isNotNull()), docs.where(F.col(key) <= F.lit(lo)) if lo is not None else None
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        batch, before = docs, docs.where(F.col(key) <= F.lit(lo)) if lo is not None else None
         if lo is not None:
             batch = batch.where(F.col(key) > F.lit(lo))
         if hi is not None:
             batch = batch.where(F.col(key) <= F.lit(hi))
-        runs = index.ingest(batch, before, last=i == len(edges) - 2)
+        runs = index.ingest(batch, before)
         found = runs if found is None else found.union(runs)
     index.close()
     return found
@@ -139,36 +210,35 @@ def without_words(docs: DataFrame, runs: DataFrame, digest: bool, key: str = "do
     return cut_out(docs, runs, handle, schema, key, text)
 
 
-def repeated_bytes(docs: DataFrame, spec: Spec = BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, a, b: runs of bytes of the documents that 400-byte strings with another occurrence cover.
+def repeated_bytes(docs: DataFrame, spec: Spec = BYTES, key: str = "doc_id", text: str = "text", earlier: bool = False) -> DataFrame:
+    """k, a, b: runs of units (bytes, by default) of the documents that windows of `spec` with another occurrence cover, or
+    with `earlier`, with an earlier one: then the first occurrence stays.
 
-    This is not prefix-free parsing: no dictionary of phrases, parse or suffix array is built. Windows are grouped by their
-    triggers, the smallest rolling hash among their first places, and rows with equal hashes of the whole stretch are
-    taken whole; where rows that share a trigger's hash differ, their windows are hashed and compared one by one. Finding
-    repeats needs equal windows together, but no order. Results are exact up to 64-bit hashes.
+    This is not prefix-free parsing: no suffix arrays of a dictionary and a parse are built. Texts are cut at rolling-hash
+    triggers into overlapping phrases, each with all windows of one trigger; equal phrases are one class, found by hash.
+    Where phrases share the trigger's stretch and yet differ, their windows are hashed and compared one by one. Finding
+    repeats of a given length needs equal windows together, but no order. Results are exact up to 64-bit hashes.
 
     A repeated key stands for one document and is no other occurrence of itself. Rows with a null key have no runs and
-    are no occurrences. Empty tables and texts have none."""
+    are no occurrences. Empty tables, null, empty and short texts have none; very long texts are hashed whole, a stretch
+    at a time. Other columns are ignored, whatever their names."""
     spark = docs.sparkSession
-    same, group = Window.partitionBy("g", "c"), Window.partitionBy("g")
-    rows = trigger_rows(docs, spec, key, text).repartition(parts(spark), "g")
-    me = F.struct("k", "at")
-    rows = rows.withColumn("nth", F.row_number().over(same.orderBy("k", "at"))).withColumn("many", F.min(me).over(same) != F.max(me).over(same))
-    rows = rows.withColumn("contested", F.min("c").over(group) != F.max("c").over(group))
-    path = scratch(spark, "judged")
-    rows.where("many or contested").select("k", "g", "at", "nth", "many", "contested").write.option("compression", "zstd").parquet(path)
-    del rows
-    release(spark)
-    judged = spark.read.parquet(path)
-    whole = judged.where("many").select("k", lowest(F.col("at")).alias("a"), (highest(F.col("at")) + spec.window).alias("b"))
-    single = window_rows(docs, judged.where("contested and nth = 1").select("k", "g", "at", "many"), spec, ["many"], key, text)
-    one, all_of = F.struct("k", "start"), Window.partitionBy("g", "h")
-    shared = single.withColumn("others", F.min(one).over(all_of) != F.max(one).over(all_of)).where("others and not many")
-    out = cut(whole.union(shared.select("k", F.col("start").alias("a"), (F.col("start") + spec.window).alias("b"))))
-    del judged, whole, single, shared
+    path = scratch(spark, "rows")
+    trigger_rows(docs, spec, key, text).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.parquet(path)
+    twice = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    judged = cut(rows.join(twice, "g", "left_semi").select("k", "g", "c", "at", F.lit(True).alias("new")))
     delete(spark, path)
     release(spark)
-    return out
+    return _covered(judged, docs, spec, earlier, key, text)
+
+
+def covered_units(runs: DataFrame) -> DataFrame:
+    """k, n: units that a document's runs (k, a, b) cover; a row for each document with any."""
+    listed = runs.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("r"))  # one text's runs
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).cast("long").alias("n"), F.greatest(s["end"], x["b"]).cast("long").alias("end"))
+    return listed.select("k", F.aggregate("r", start, step)["n"].alias("n"))
 
 
 def byte_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
