@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,12 +21,15 @@ SLICE_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that all executors see: spark.checkpoint.dir, or where it is unset and Spark runs in one process, a temporary
+    one. Unset on a cluster, it raises ValueError."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(sc, "_tessera_shared", None)
         if path is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = sc._tessera_shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
@@ -192,3 +196,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it no column of df, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

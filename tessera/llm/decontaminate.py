@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, packed, slices, small_batches, word_bounds, word_hashes
+from .common import LOWER, packed, slices, small_batches, unused, word_bounds, word_hashes
 
 #: Words of a window, and words of items that one automaton holds: more items make more automata, in blocks.
 WINDOW, BLOCK_WORDS = 10, 200_000
@@ -203,8 +203,8 @@ def _lists(rows: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in r] for r in rows], kind)
 
 
-def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with a column `leak`: n_words, words (hit runs of words), spans (the same as runs of UTF-8 bytes), items.
+def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_key: str = "item_id", item_text: str = "text", into: str = "leak") -> DataFrame:
+    """docs with a column `into`, in place of one of that name: n_words, words (hit runs of words), spans (the same as runs of UTF-8 bytes), items.
 
     A word is hit inside any occurrence of a window: `window` consecutive words of an item, or a whole shorter item.
     Texts are streamed whole through the automaton, which tracks the longest match that ends at each word; words that
@@ -212,7 +212,8 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
     makes a block of its own), each an automaton, so what a task holds does not grow with the items.
 
     Null or wordless texts: no words, no hits; so are such items. Repeated items count once by their key. Items are
-    named by their key as a string, null as `null`. Either table may be empty. Other columns stay as they are."""
+    named by their key as a string, null as `null`. Either table may be empty. Null and repeated keys of documents don't matter: each row is marked by itself.
+    Very long texts are streamed whole. Other columns stay as they are."""
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +232,11 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
         held += r.w
     out, columns = docs, []
     for i, block in enumerate(blocks):
-        out = out.withColumn(f"_leak{i}", _marker(Automaton(block, window))(F.col(text)))
-        columns.append(f"_leak{i}")
+        columns.append(unused(out, f"_leak{i}"))
+        out = out.withColumn(columns[-1], _marker(Automaton(block, window))(F.col(text)))
+    others = [c for c in docs.columns if c.lower() != into.lower()]
     if len(blocks) == 1:
-        return out.withColumnRenamed("_leak0", "leak")
+        return out.select(*others, F.col(columns[0]).alias(into))
 
     @F.arrow_udf(RUNS)
     def union(column: pa.Array) -> pa.Array:
@@ -242,7 +244,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
 
     every = lambda part: union(F.concat(*[F.col(f"{c}.{part}") for c in columns])).alias(part)
     found = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{c}.items") for c in columns]))).alias("items")
-    return out.withColumn("leak", F.struct(F.col("_leak0.n_words").alias("n_words"), every("words"), every("spans"), found)).drop(*columns)
+    return out.select(*others, F.struct(F.col(f"{columns[0]}.n_words").alias("n_words"), every("words"), every("spans"), found).alias(into))
 
 
 def _marker(automaton: Automaton):
@@ -256,10 +258,11 @@ def _marker(automaton: Automaton):
     return marked
 
 
-def remove(marked: DataFrame, longest: int = 0, coverage: float = 0.5, text: str = "text") -> DataFrame:
+def remove(marked: DataFrame, longest: int = 0, coverage: float = 0.5, text: str = "text", leak: str = "leak") -> DataFrame:
     """The documents of mark() without their leaks: spans of more than `longest` words are cut out of the text, and
-    documents of which over `coverage` of the words are hit go. The columns are those that mark() was given."""
-    hit = F.aggregate("leak.words", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
+    documents of which over `coverage` of the words are hit go. The columns are those that mark() was given.
+    Null and wordless texts stay as they are."""
+    hit = F.aggregate(f"{leak}.words", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"])
 
     @F.arrow_udf("string")
     def cut_out(column: pa.Array, words: pa.Array, spans: pa.Array) -> pa.Array:
@@ -276,5 +279,5 @@ def remove(marked: DataFrame, longest: int = 0, coverage: float = 0.5, text: str
             out.append(raw)
         return pa.array(out, pa.string())
 
-    kept = marked.where(hit <= F.col("leak.n_words") * F.lit(coverage))
-    return kept.withColumn(text, F.when(F.size("leak.words") > 0, cut_out(F.col(text), F.col("leak.words"), F.col("leak.spans"))).otherwise(F.col(text))).drop("leak")
+    kept = marked.where(hit <= F.col(f"{leak}.n_words") * F.lit(coverage))
+    return kept.withColumn(text, F.when(F.size(f"{leak}.words") > 0, cut_out(F.col(text), F.col(f"{leak}.words"), F.col(f"{leak}.spans"))).otherwise(F.col(text))).drop(leak)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -31,7 +31,7 @@ def digest(text: str | None) -> str:
     return xxhash.xxh3_128_hexdigest(canonical(text))
 
 
-def equal_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def equal_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wide_hash: Callable[[bytes], str] = xxhash.xxh3_128_hexdigest) -> DataFrame:
     """key, fingerprint, class_id, n_class: documents alike in canonical text.
 
     Rows are grouped by the wide hash and, inside a bucket, their canonical bytes are compared with the distinct texts
@@ -48,7 +48,7 @@ def equal_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         for big in batches:
             for b in slices(big, "t"):
                 texts = [canonical(x) for x in b.column("t").to_pylist()]
-                yield pa.record_batch([b.column("k"), pa.array([xxhash.xxh3_128_hexdigest(x) for x in texts]), pa.array([pack(x) for x in texts], pa.binary())], ["k", "h", "z"])
+                yield pa.record_batch([b.column("k"), pa.array([wide_hash(x) for x in texts]), pa.array([pack(x) for x in texts], pa.binary())], ["k", "h", "z"])
 
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(folded, f"k {kind}, h string, z binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE_WORDS, cut, mix, packed, parts, prefix_hash, release, run_hash, slices, small_batches, word_bounds, word_hashes
 
 #: Words of a shingle; coordinates of a signature, and how many of them must agree. Two sets at a similarity of 0.75
-#: agree in 48 of 64 on average, and in fewer than 32 once in 200,000.
-SHINGLE, COORDINATES, MATCHES = 5, 64, 32
+#: agree in 48 of 64 on average, and in fewer than 24 with a chance of 4e-11 (the binomial tail), more alike ones less.
+SHINGLE, COORDINATES, MATCHES = 5, 64, 24
 #: Links hold where 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Classes of a block, of which two at a time are compared.
-BLOCK = 64
+#: Classes of a block, of which two at a time are compared, and shingles of a slice of their incidence matrix.
+BLOCK, SLICE = 64, 1 << 15
 
 _odd = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
 FACTOR, SHIFT = _odd[:COORDINATES] | np.uint64(1), _odd[COORDINATES:]
@@ -101,7 +102,7 @@ def rarest(post: DataFrame, matches: Column, as_smaller: Column | None = None) -
 
     Postings of one class alone are dropped, then classes with fewer than `matches` left; of the m left, ordered by how
     few classes a posting has, the first m - matches + 1 suffice. pop: classes in all its m postings."""
-    freq = post.groupBy("p").agg(F.count("*").alias("f")).where("f > 1")
+    freq = cut(post.groupBy("p").agg(F.count("*").alias("f")).where("f > 1"))  # cut, so that the join can split a hot posting
     per = Window.partitionBy("k")
     met = post.join(freq, "p").withColumns({"m": F.count("*").over(per), "pop": F.sum("f").over(per)}).where(F.col("m") >= matches)
     met = met.withColumn("r", F.row_number().over(per.orderBy("f", "p"))).where(F.col("r") <= F.col("m") - matches + 1)
@@ -129,15 +130,19 @@ def components(edges: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     """u, v: links between the components of each group of members (k, comp, n, g), enough to join all that are linked.
 
-    A group's members, in order of size, are cut into blocks; two blocks whose sizes allow a link are compared at once,
-    by a product of their shingles' incidence matrices. A task holds two blocks, and emits a forest of links at most."""
-    order = Window.partitionBy("g").orderBy("n", "k")
-    m = members.withColumn("b", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = cut(m.join(texts.select("k", "z"), "k").groupBy("g", "b").agg(F.collect_list(F.struct("k", "comp", "z")).alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")))
-    span = blocks.select("g", "b", "lo", "hi")
-    after = span.select("g", F.col("b").alias("c"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
-    near = span.join(after, "g").where((F.col("b") <= F.col("c")) & (F.col("hi") * 100 >= F.col("clo") * SHARE)).select("g", "b", "c")
-    both = near.join(blocks.select("g", "b", "d"), ["g", "b"]).join(blocks.select("g", F.col("b").alias("c"), F.col("d").alias("e")), ["g", "c"])
+    A group's members are dealt by size class (sizes within a class and its neighbour alone allow a link) and, inside a
+    class, by a hash of their keys into blocks of about BLOCK; only their counts are gathered. Two blocks whose sizes allow
+    a link are compared at once, by products of slices of their shingles' incidence matrices. A task holds two blocks, and
+    emits a forest of links at most."""
+    m = members.withColumn("size", F.floor(F.log("n") / F.lit(math.log(100 / SHARE)) + 1e-9))
+    many = cut(m.groupBy("g", "size").agg(F.ceil(F.count("*") / BLOCK).alias("of")))
+    m = m.join(many, ["g", "size"]).withColumn("b", F.pmod(F.xxhash64("k"), F.col("of")))
+    blocks = cut(m.join(texts.select("k", "z"), "k").groupBy("g", "size", "b").agg(F.collect_list(F.struct("k", "comp", "z")).alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    span = blocks.select("g", "size", "b", "lo", "hi")
+    after = span.select("g", F.col("size").alias("size2"), F.col("b").alias("c"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
+    fits = (F.col("hi") * 100 >= F.col("clo") * SHARE) & (F.col("chi") * 100 >= F.col("lo") * SHARE)
+    near = span.join(after, "g").where((F.struct("size", "b") <= F.struct("size2", "c")) & fits).select("g", "size", "b", "size2", "c")
+    both = near.join(blocks.select("g", "size", "b", "d"), ["g", "size", "b"]).join(blocks.select("g", F.col("size").alias("size2"), F.col("b").alias("c"), F.col("d").alias("e")), ["g", "size2", "c"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -147,10 +152,16 @@ def _blocks(members: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
                 rows = d if [x["k"] for x in d] == [x["k"] for x in e] else d + e
                 sets = shingle_sets(pa.array([unpack(x["z"]) for x in rows], pa.binary()))
                 n = np.array([len(s) for s in sets])
-                known, at = np.unique(np.concatenate(sets), return_inverse=True)
-                has = np.zeros((len(known), len(rows)), np.float32)
-                has[at, np.repeat(np.arange(len(rows)), n)] = 1
-                both = np.rint(has.T @ has).astype(np.int64)
+                flat, of = np.concatenate(sets), np.repeat(np.arange(len(rows)), n)
+                order = np.argsort(flat, kind="stable")
+                flat, of = flat[order], of[order]
+                at = np.cumsum(np.diff(flat, prepend=flat[:1]) != 0)
+                both = np.zeros((len(rows), len(rows)), np.int64)
+                for lo in range(0, int(at[-1]) + 1, SLICE):  # so many shingles at a time, however long the texts
+                    part = slice(*np.searchsorted(at, [lo, lo + SLICE]))
+                    has = np.zeros((SLICE, len(rows)), np.float32)
+                    has[at[part] - lo, of[part]] = 1
+                    both += np.rint(has.T @ has).astype(np.int64)
                 linked = 100 * both >= SHARE * (n[:, None] + n[None, :] - both)
                 root: dict = {}
 

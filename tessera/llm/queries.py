@@ -17,7 +17,7 @@ from .packing import pack
 from .shard import shard_by_size
 from .substrings import PASSAGES, covered_units, repeated_bytes, repeated_words, without_bytes, without_words
 from .tokens import token_rows
-from .toxicity import CUT, fit_chain, score
+from .toxicity import fit_chain, score
 from .warc import read_archives, write_archives
 
 
@@ -84,9 +84,10 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, fit_chain(docs, read(spark, sf_dir, "labels"), CATEGORIES))
+    chain = fit_chain(docs, read(spark, sf_dir, "labels"), CATEGORIES)
+    scored = score(docs, chain)
     p = {c: F.col(f"toxicity.{c}") for c in CATEGORIES}
-    return scored.select("doc_id", *[v.alias(f"p_{c}") for c, v in p.items()], (p["toxic"] >= CUT).alias("rejected"))
+    return scored.select("doc_id", *[v.alias(f"p_{c}") for c, v in p.items()], (p["toxic"] >= chain.cuts[-1]).alias("rejected"))
 
 
 def op10_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

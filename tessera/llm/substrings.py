@@ -37,12 +37,13 @@ def _covered(judged: DataFrame, texts: DataFrame, spec: Spec, earlier: bool, key
     many = F.col("first") != F.col("last")
     rows = judged.where("new").join(classes.where(many).select("g", "c", "first"), ["g", "c"])
     whole = (rows.where(me != F.col("first")) if earlier else rows).select("k", lowest(F.col("at")).alias("a"), (highest(F.col("at")) + spec.window).alias("b"))
-    heads = classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("last.new").alias("any")).where("lo <> hi and any").select("g")
+    # aggregates are cut before they are joined, since only a join of two plain shuffles can split a hot key's rows
+    heads = cut(classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("last.new").alias("any")).where("lo <> hi and any").select("g"))
     wanted = classes.join(heads, "g", "left_semi").select("first.k", "g", "first.at", "first.new", many.alias("many"))
     single = cut(window_rows(texts, wanted, spec, ["new", "many"], key, text))
     release(spark)
     one = F.struct("new", "k", "start")
-    equal = single.groupBy("g", "h").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last").select("g", "h", "first")
+    equal = cut(single.groupBy("g", "h").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last").select("g", "h", "first"))
     shared = single.where("new" if earlier else "not many").join(equal, ["g", "h"])
     shared = (shared.where(one != F.col("first")) if earlier else shared).select("k", F.col("start").alias("a"), (F.col("start") + spec.window).alias("b"))
     out = cut(whole.union(shared))
@@ -131,7 +132,7 @@ class FingerprintIndex:
                 met = old if met is None else met.unionByName(old)
             met = cut(met)
             own = own.union(met.select("g")).distinct()
-        judged = judged.join(own, "g", "left_semi")
+        judged = judged.join(cut(own), "g", "left_semi")
         judged = cut(judged.unionByName(met) if older else judged)
         delete(self.spark, path)
         release(self.spark)
@@ -226,7 +227,7 @@ def repeated_bytes(docs: DataFrame, spec: Spec = BYTES, key: str = "doc_id", tex
     path = scratch(spark, "rows")
     trigger_rows(docs, spec, key, text).write.option("compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
-    twice = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    twice = cut(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     judged = cut(rows.join(twice, "g", "left_semi").select("k", "g", "c", "at", F.lit(True).alias("new")))
     delete(spark, path)
     release(spark)

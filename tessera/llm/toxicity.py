@@ -17,8 +17,8 @@ from .common import LOWER, packed, run_hash, prefix_hash, BYTE_UNITS, slices, sm
 SAMPLE, FEATURES, FOLDS = 12_000, 200, 5
 #: Lengths in bytes of the beginnings of words that count as features, beside whole words.
 HEADS = (4, 5, 6)
-#: Ridge penalty, steps and step size of the fits; probability from which a document counts as positive.
-RIDGE, STEPS, RATE, CUT = 0.3, 120, 1.0, 0.5
+#: Ridge penalty, steps and step size of the fits; least and largest probability from which a document counts as positive.
+RIDGE, STEPS, RATE, CUTS = 0.3, 120, 1.0, (0.1, 0.5)
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
@@ -42,12 +42,14 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Chain:
     """Models of the categories in order: `known` are the features' hashes, ascending; weights[c] has one weight for each
-    of them and one for each earlier category's probability; bias[c]."""
+    of them and one for each earlier category's probability; bias[c]. cuts[c]: the probability from which a document
+    counts as positive."""
 
     categories: tuple[str, ...]
     known: np.ndarray
     weights: list[np.ndarray]
     bias: list[float]
+    cuts: list[float]
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Probabilities, a row for each text and a column for each category."""
@@ -97,21 +99,31 @@ def _fit(doc: np.ndarray, idx: np.ndarray, dense: np.ndarray, y: np.ndarray, m:
     return w[:-1], float(w[-1])
 
 
+def best_cut(y: np.ndarray, p: np.ndarray) -> float:
+    """The largest probability within CUTS at which the F1 of out-of-fold probabilities is best; the upper end where there
+    is no positive one."""
+    tried = np.unique(np.concatenate([np.clip(p, *CUTS), CUTS]))
+    scores = [2 * (y * (p >= t)).sum() / max(1.0, y.sum() + (p >= t).sum()) for t in tried]
+    return float(tried[len(tried) - 1 - int(np.argmax(scores[::-1]))])
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id", text: str = "text") -> Chain:
     """Fit a chain on at most SAMPLE labelled documents, those whose keys hash lowest.
 
     categories: name to a boolean SQL expression over `labels`, in the chain's order; null is false. Features are the words and
     beginnings of words with the largest chi-square against a category, counted on the executors; the driver receives
     the counts' best FEATURES for each category and, of each sampled document, which of them it has. Each model sees
-    the earlier categories' probabilities: out-of-fold ones when it is fitted, the models' own when it scores.
+    the earlier categories' probabilities: out-of-fold ones when it is fitted, the models' own when it scores. A
+    category's cut is the one with the best F1 among its out-of-fold probabilities.
 
     Without labelled documents, or with one class alone, a category's probability is constant. A key labelled twice
-    counts with one of its rows; a repeated document counts as often as it occurs."""
+    is positive in a category where any of its rows is; a repeated document counts as often as it occurs. Null keys aren't
+    sampled; null and empty texts have no features; very long texts count whole. Other columns are ignored."""
     small_batches(docs.sparkSession)
     names = tuple(categories)
     y = labels.select(F.col(key).alias("k"), *[F.coalesce(F.expr(c), F.lit(False)).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
-    y = y.where("k is not null").orderBy(F.xxhash64("k"), *[f"y{i}" for i in range(len(names))]).limit(SAMPLE).dropDuplicates(["k"])
     ys = [f"y{i}" for i in range(len(names))]
+    y = y.where("k is not null").groupBy("k").agg(*[F.max(c).alias(c) for c in ys]).orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(y), "k")  # SAMPLE rows at most
     kinds = ", ".join(f"{c} int" for c in ys)
 
@@ -126,7 +138,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ke
     total = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ys]).first()
     n = total["n"]
     if not n:
-        return Chain(names, np.zeros(0, np.uint64), [np.zeros(c) for c in range(len(names))], [-35.0] * len(names))
+        return Chain(names, np.zeros(0, np.uint64), [np.zeros(c) for c in range(len(names))], [-35.0] * len(names), [CUTS[1]] * len(names))
     counts = sample.mapInArrow(listed, f"f long, {kinds}").groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ys]).where("n >= 3")
     best = None
     scores = []
@@ -157,23 +169,23 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ke
     idx, doc = np.asarray(lists.flatten()).astype(np.int64), np.repeat(np.arange(len(size)), size)
     fold, m = np.asarray(rows.column("fold")), len(known)
     early = np.zeros((len(size), 0))
-    weights, bias = [], []
+    weights, bias, cuts = [], [], []
     for c in ys:
         target = np.asarray(rows.column(c)).astype(float)
         w, b = _fit(doc, idx, early, target, m)
         weights.append(w)
         bias.append(b)
         held = np.zeros(len(size))
-        if c != ys[-1]:
-            for k in range(FOLDS):
-                own = fold != k
-                place = np.cumsum(own) - 1
-                part = own[doc]
-                wk, bk = _fit(place[doc[part]], idx[part], early[own], target[own], m)
-                z = np.bincount(doc, wk[idx], len(size)) + early @ wk[m:] + bk
-                held[~own] = sigmoid(z)[~own]
-            early = np.column_stack([early, held])
-    return Chain(names, known, weights, bias)
+        for k in range(FOLDS):
+            own = fold != k
+            place = np.cumsum(own) - 1
+            part = own[doc]
+            wk, bk = _fit(place[doc[part]], idx[part], early[own], target[own], m)
+            z = np.bincount(doc, wk[idx], len(size)) + early @ wk[m:] + bk
+            held[~own] = sigmoid(z)[~own]
+        cuts.append(best_cut(target, held))
+        early = np.column_stack([early, held])
+    return Chain(names, known, weights, bias, cuts)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", into: str = "toxicity") -> DataFrame:

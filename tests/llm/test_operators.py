@@ -79,6 +79,25 @@ def test_op1_batches_agree(spark, corpus):
     assert whole(1) == whole(4)
 
 
+def test_op1_two_jobs_equal_one(spark, corpus, tmp_path):
+    """An index that a second job opens from its path, with compacted runs, an empty batch and rows without a key."""
+    docs = spark.createDataFrame([*corpus, (None, corpus[2][1])], "doc_id long, text string")
+    first, empty, second, third = docs.where("doc_id < 20"), docs.where("doc_id < 0"), docs.where("doc_id >= 20 and doc_id < 45"), docs.where("doc_id >= 45 or doc_id is null")
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    found = index.ingest(first).union(index.ingest(empty, first))
+    index.close(keep=True)
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert len(index.runs) == 1
+    found = found.union(index.ingest(second, first))
+    assert [r[1] for r in index.runs] == [1]  # two runs of level 0 have become one of level 1
+    found = found.union(index.ingest(third, docs.where("doc_id < 45")))
+    assert [r[1] for r in index.runs] == [1, 0]
+    index.close()
+    whole = lambda r: sorted((tuple(x) for x in substrings.without_words(docs, r, True).collect()), key=repr)
+    assert whole(found) == whole(substrings.repeated_words(docs, 1))
+    assert not list((tmp_path).glob("index/run*"))
+
+
 def test_op2(tables, corpus):
     tables("documents", corpus, "doc_id long, text string")
     got, n = collected(queries.op2_exact_digest(_spark(), ""))
@@ -92,11 +111,16 @@ def test_op2(tables, corpus):
     assert n == len(corpus) and got[3].fingerprint == got[502].fingerprint and got[502].class_id == 3
 
 
-def test_op2_collisions_are_told_apart(spark, monkeypatch):
-    assert fingerprint.canonical("  Ｆoo BAR ") == b"foo bar"
-    same = spark.createDataFrame([(1, "a"), (2, "A "), (3, None), (None, "a")], "doc_id long, text string")
+def test_op2_collisions_are_told_apart(spark):
+    assert fingerprint.canonical("  Ｆoo BAR ") == b"foo bar"
+    rows = [(1, "a"), (2, "A "), (3, None), (None, "a"), (4, "b"), (5, "c"), (6, "B"), (7, "aa")]
+    same = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprint.equal_classes(same).collect()}
     assert got[1].class_id == got[2].class_id == 1 and got[2].n_class == 3 and got[3].n_class == 1
+    # a wide hash of two buckets, by the text's length: a, b and c collide
+    got = {r.doc_id: r for r in fingerprint.equal_classes(same, wide_hash=lambda x: f"{len(x) % 2:032}").collect()}
+    assert {got[d].digest for d in (1, 2, 4, 5, 6, None)} == {f"{1:032}"} and len({got[d].fingerprint for d in (1, 4, 5, 3, 7)}) == 5
+    assert [got[d].class_id for d in (1, 2, 4, 6, 5, 3, 7)] == [1, 1, 4, 4, 5, 3, 7] and got[None].class_id == 1 and got[1].n_class == 3
 
 
 def test_op3(spark, tables):
@@ -211,7 +235,8 @@ def test_other_files_go_to_the_library(tmp_path):
 def test_op6(spark, corpus):
     docs = spark.createDataFrame([*corpus, (502, corpus[3][1]), (None, "n")], "doc_id long, text string")
     rows = shard.shard_by_size(docs.withColumnRenamed("text", "text")).collect()
-    assert len(rows) == len(corpus) + 2
+    want = collections.Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for d, t in [*corpus, (502, corpus[3][1]), (None, "n")])
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows) == want
     by = collections.defaultdict(list)
     for r in rows:
         by[r.shard].append(r)
@@ -239,6 +264,20 @@ def test_op7(tables, corpus):
     assert n == len(corpus)
 
 
+def test_first_occurrence_stays(spark, corpus):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.without_bytes(docs, substrings.repeated_bytes(docs, earlier=True), True).collect()}
+    seen = set()
+    for d, t in sorted(corpus):
+        b, gone = (t or "").encode(), 0
+        reach = 0
+        for a in range(len(b) - 399):
+            if b[a : a + 400] in seen:
+                gone, reach = gone + a + 400 - max(a, reach), a + 400
+            seen.add(b[a : a + 400])
+        assert got[d].n_removed == gone, d
+
+
 def test_op8(tables):
     rnd = random.Random(7)
 
@@ -277,13 +316,34 @@ def test_op8(tables):
         assert (got[d].n_shingles, got[d].component_id, got[d].kept) == (len(sets[d]), find(d), find(d) == d)
 
 
-def test_op9_held_out(spark, sf_dir):
-    big = sf_dir.replace("sf0.001", "sf0.01")
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.1", 0.9), ("sf0.01", 0.6)])
+def test_op9_held_out(spark, sf_dir, sf, recall):
+    """Recall of toxic rows grows with the labels: 2,650 of them here, or 265."""
+    big = sf_dir.replace("sf0.001", sf)
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
     chain = toxicity.fit_chain(docs, labels.where("doc_id % 3 <> 0"), queries.CATEGORIES)
     held = toxicity.score(docs.join(labels.where("doc_id % 3 = 0"), "doc_id"), chain).selectExpr("toxic", "toxicity.toxic as p").collect()
-    right = sum((r.p >= toxicity.CUT) == bool(r.toxic) for r in held)
-    assert right / len(held) > 0.9 and all(r.toxic for r in held if r.p >= toxicity.CUT)
+    toxic = [r.p >= chain.cuts[-1] for r in held if r.toxic]
+    clean = [r.p >= chain.cuts[-1] for r in held if not r.toxic]
+    assert sum(toxic) >= recall * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_op9_scores_by_brute_force(spark):
+    """The chain's probabilities from its weights, one feature at a time."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(["fool", "idiot", "Garden", "été", "x1"] if i % 4 == 0 else ["rose", "Garden", "été", "x1"]) for _ in range(rnd.randint(3, 20)))) for i in range(200)] + [(900, None), (901, ""), (None, "fool idiot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(200)] + [(5, 1, 0), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs, labels, queries.CATEGORIES)
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, chain).collect()}
+    for d, text in rows:
+        _, found = toxicity.features(toxicity.pa.array([text], toxicity.pa.string()))
+        has, early = sorted(set(found.tolist()) & set(chain.known.tolist())), []
+        for w, b in zip(chain.weights, chain.bias, strict=True):
+            z = b + sum(w[chain.known.tolist().index(f)] for f in has) + sum(w[len(chain.known) + i] * p for i, p in enumerate(early))
+            early.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(early, [got[d].low_quality, got[d].toxic])
+    assert got[0].toxic > chain.cuts[-1] > got[1].toxic
 
 
 def test_op9_without_labels_or_words(spark):

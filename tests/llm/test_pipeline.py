@@ -25,6 +25,6 @@ def test_stages(spark, sf_dir):
     assert all(corpus_pipeline.STAGES) and frame.columns[0] == "doc_id"
     assert 9007 in kept[0] and 9002 in kept[0]
     assert 9002 not in kept[1] and 9003 not in kept[1] and 9007 in kept[1]
-    assert "q7919 " not in kept[2][9004].text and kept[2][9007].text == planted[-1][1] and 9005 in kept[2]
+    assert shared in kept[2][9004].text and "q7919 " not in kept[2][9005].text and kept[2][9007].text == planted[-1][1] and 9005 in kept[2]
     assert item not in kept[3][9006].text and kept[3][9006].n_chars == len(kept[3][9006].text) and kept[3][9007].text == planted[-1][1]
     assert set(kept[4]) == set(kept[3])
