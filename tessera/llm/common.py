@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -65,6 +66,7 @@ def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, since one document can be very long; and workers that find this package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
 
 
 def lean_workers(spark: SparkSession) -> None:
@@ -73,6 +75,7 @@ def lean_workers(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     for name, value in (("MALLOC_MMAP_THRESHOLD_", "262144"), ("MALLOC_TRIM_THRESHOLD_", "262144"), ("MALLOC_ARENA_MAX", "1"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         env[name] = value
+    env["TESSERA_LEAN"] = "1"
 
 
 def trim() -> None:
@@ -85,6 +88,17 @@ def trim() -> None:
         return
 
 
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, after which a lean worker gives its freed memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        if os.environ.get("TESSERA_LEAN"):
+            trim()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows whose text comes to about `most` bytes."""
     n = batch.num_rows

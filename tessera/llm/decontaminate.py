@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, packed, slices, small_batches, unused, word_bounds, word_hashes
+from .common import LOWER, packed, slices, small_batches, tidy, unused, word_bounds, word_hashes
 
 #: Words of a window, and words of items that one automaton holds: more items make more automata, in blocks.
 WINDOW, BLOCK_WORDS = 10, 200_000
@@ -221,7 +221,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "t
             yield pa.record_batch([b.column("i"), b.column("t"), pa.array([len(words_of(x)) for x in b.column("t").to_pylist()], pa.int64())], ["i", "t", "w"])
 
     named = items.select(F.coalesce(F.col(item_key).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
-    named = named.mapInArrow(counted, "i string, t string, w long").where("w > 0")
+    named = named.mapInArrow(tidy(counted), "i string, t string, w long").where("w > 0")
     blocks: list[list[tuple[str, list[bytes]]]] = [[]]
     held = 0
     for r in named.orderBy("i", "t").toLocalIterator():

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts, release, slices, small_batches
+from .common import cut, parts, release, slices, small_batches, tidy
 
 #: Members of one equal bucket are compared in so many salted runs, and the runs' first texts with one another.
 SALTS = 32
@@ -51,7 +51,7 @@ def equal_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wide
                 yield pa.record_batch([b.column("k"), pa.array([wide_hash(x) for x in texts]), pa.array([pack(x) for x in texts], pa.binary())], ["k", "h", "z"])
 
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(folded, f"k {kind}, h string, z binary")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidy(folded), f"k {kind}, h string, z binary")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,7 @@ def equal_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wide
             yield pa.record_batch([b.column("k"), b.column("h"), b.column("salt"), pa.array(which, pa.int32()), pa.array(texts, pa.binary())], ["k", "h", "salt", "nth", "head"])
 
     run = rows.repartition(parts(spark), "h", "salt").sortWithinPartitions("h", "salt", "k")
-    kept = cut(run.mapInArrow(compared, f"k {kind}, h string, salt int, nth int, head binary"))
+    kept = cut(run.mapInArrow(tidy(compared), f"k {kind}, h string, salt int, nth int, head binary"))
     del rows, run
     release(spark)
     heads = kept.where("head is not null").select("h", "salt", "nth", "head")
@@ -141,14 +141,14 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 yield frame(b.column("k").to_pylist(), b.schema.field("k").type, [outcome(x, digest(x), y, digest(y)) for x, y in texts])
 
     result = f"k {kind}, n long, sha string, fp string, efp string, nfp string, end byte, z binary"
-    small = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(packed, f"k {kind}, h long, z binary")
+    small = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(tidy(packed), f"k {kind}, h long, z binary")
     dealt = small.repartitionByRange(parts(spark), F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
-    out = cut(dealt.mapInArrow(paired, result).withColumn("part", F.spark_partition_id()))
+    out = cut(dealt.mapInArrow(tidy(paired), result).withColumn("part", F.spark_partition_id()))
     del small, dealt
     release(spark)
     firsts = out.where("end = 1")
     line = Window.orderBy("part")  # a row for each range
     follows = firsts.select("part").withColumn("then", F.coalesce(F.lead("part").over(line), F.first("part").over(line)))
     ends = out.where("end = 2").select("part", "k", "z").join(follows, "part").join(firsts.select(F.col("part").alias("then"), F.col("z").alias("w")), "then")
-    straddle = ends.select("k", "z", "w").mapInArrow(straddling, result)
+    straddle = ends.select("k", "z", "w").mapInArrow(tidy(straddling), result)
     return out.where("end = 0").drop("part").union(straddle).select(*[F.col(a).alias(b) for a, b in zip(["k", "n", "sha", "fp", "efp", "nfp"], names, strict=True)]).withColumnRenamed("k", key)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, tidy
 from .tokens import unpack_ids
 
 #: Longest code in bits, ids of a block (the last document goes in whole), and ids between two checkpoints.
@@ -140,7 +140,7 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
         ids = np.flatnonzero(total)
         yield pa.record_batch([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
 
-    rows = tokens.select("z").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("z").mapInArrow(tidy(counted), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << 16, np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -181,7 +181,7 @@ def write_ids(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
 
     order = [F.col("k").asc_nulls_first(), F.col("h")]
     dealt = tokens.select(F.col(key).alias("k"), "h", "z").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
-    out = dealt.mapInArrow(blocks, f"block long, n long, keys array<{kind}>, data binary").withColumn("part", F.spark_partition_id())
+    out = dealt.mapInArrow(tidy(blocks), f"block long, n long, keys array<{kind}>, data binary").withColumn("part", F.spark_partition_id())
     out.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -209,5 +209,5 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     ahead = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n")
     starts = blocks.select("part", "block", inside.alias("inside")).join(F.broadcast(ahead), "part").select("part", "block", (F.col("inside") + F.col("ahead")).alias("first"))
-    docs = blocks.select("part", "block", "keys", "data").mapInArrow(decoded, f"k {kind}, part int, block long, at long, size long, crc long")
+    docs = blocks.select("part", "block", "keys", "data").mapInArrow(tidy(decoded), f"k {kind}, part int, block long, at long, size long, crc long")
     return docs.join(starts, ["part", "block"]).select(F.col("k").alias(key), (F.col("first") + F.col("at")).alias("start"), F.col("size").alias("n_tokens"), F.col("crc").alias("ids_crc32"))

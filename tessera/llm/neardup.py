@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORDS, cut, mix, packed, parts, prefix_hash, release, run_hash, slices, small_batches, word_bounds, word_hashes
+from .common import LOWER, SPACE_WORDS, cut, mix, packed, parts, prefix_hash, release, run_hash, slices, small_batches, tidy, word_bounds, word_hashes
 
 #: Words of a shingle; coordinates of a signature, and how many of them must agree. Two sets at a similarity of 0.75
 #: agree in 48 of 64 on average, and in fewer than 24 with a chance of 4e-11 (the binomial tail), more alike ones less.
@@ -62,7 +62,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.record_batch([b.column("k"), pa.array(n), sid, pa.array([r.tobytes() for r in sig], pa.binary())], ["k", "n", "sid", "sig"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"k {kind}, n long, sid binary, sig binary")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidy(rows), f"k {kind}, n long, sid binary, sig binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def postings(classes: DataFrame) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(b.num_rows), COORDINATES))
                 yield pa.record_batch([pa.array(mix(sig ^ salt).reshape(-1).view(np.int64)), b.column("k").take(take), b.column("n").take(take)], ["p", "k", "n"])
 
-    return classes.select("k", "n", "sig").mapInArrow(rows, f"p long, k {dict(classes.dtypes)['k']}, n long")
+    return classes.select("k", "n", "sig").mapInArrow(tidy(rows), f"p long, k {dict(classes.dtypes)['k']}, n long")
 
 
 def shingle_postings(texts: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def shingle_postings(texts: DataFrame) -> DataFrame:
                 take = np.repeat(np.arange(b.num_rows), n)
                 yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), b.column("k").take(pa.array(take)), pa.array(n[take])], ["p", "k", "n"])
 
-    return texts.select("k", "z").mapInArrow(rows, f"p long, k {dict(texts.dtypes)['k']}, n long")
+    return texts.select("k", "z").mapInArrow(tidy(rows), f"p long, k {dict(texts.dtypes)['k']}, n long")
 
 
 def rarest(post: DataFrame, matches: Column, as_smaller: Column | None = None) -> DataFrame:
@@ -180,7 +180,7 @@ def _blocks(members: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
                 yield pa.record_batch([pa.array([f[j] for f in found], kinds) for j in (0, 1)], ["u", "v"])
 
     spark = members.sparkSession
-    return both.select("d", "e").repartition(parts(spark)).mapInArrow(compared, f"u {kind}, v {kind}")
+    return both.select("d", "e").repartition(parts(spark)).mapInArrow(tidy(compared), f"u {kind}, v {kind}")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +211,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for b in batches:
             yield pa.record_batch([b.column("k"), pa.array([pack((x or "").encode()) for x in b.column("t").to_pylist()], pa.binary())], ["k", "z"])
 
-    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(squeezed, f"k {kind}, z binary")
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidy(squeezed), f"k {kind}, z binary")
     texts = cut(texts.join(involved, "k").join(classes.select("k", "sig"), "k").dropDuplicates(["k"]))
     release(spark)
     met = cut(rarest(shingle_postings(texts), F.ceil(F.col("n") * SHARE / 100), F.ceil(F.col("n") * 2 * SHARE / (100 + SHARE))))
@@ -239,7 +239,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def confirm(pairs: DataFrame) -> DataFrame:
         right = texts.select(F.col("k").alias("c"), F.col("z").alias("cz"), F.col("sig").alias("csig"))
-        return cut(pairs.join(texts, "k").join(right, "c").select("c", "k", "z", "cz", "sig", "csig").mapInArrow(confirmed, f"u {kind}, v {kind}"))
+        return cut(pairs.join(texts, "k").join(right, "c").select("c", "k", "z", "cz", "sig", "csig").mapInArrow(tidy(confirmed), f"u {kind}, v {kind}"))
 
     fit = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * SHARE
     fit = fit & F.when(F.col("n") < F.col("cn"), F.col("small")).when(F.col("n") > F.col("cn"), F.col("csmall")).otherwise(F.col("small") | F.col("csmall"))

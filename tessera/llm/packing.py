@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts, release
+from .common import cut, parts, release, tidy
 from .tokens import unpack_ids
 
 #: Up to so many sources a worker holds the counts of all queues for its rounds; beyond, counts are joined from a table.
@@ -174,7 +174,7 @@ def pack(tokens: DataFrame, length: int = 2048, mixture: Mapping[str, int] | Non
         return pa.record_batch([b.column("k").take(take), *columns, b.column("s").take(take)], ["k", "start", "length", "crc", "n", "seq", "off", "s"])
 
     out = t.select("row", "k", "s", "z").join(placed.drop("n"), "row").select("k", "s", "z", "q", "at")
-    return _named(out.mapInArrow(pieces, shape), key)
+    return _named(out.mapInArrow(tidy(pieces), shape), key)
 
 
 def _joined(t: DataFrame, placed: DataFrame, totals: list[int], weights: list[int], length: int, shape: str) -> DataFrame:
@@ -190,7 +190,7 @@ def _joined(t: DataFrame, placed: DataFrame, totals: list[int], weights: list[in
                     yield pa.record_batch([pa.array([q] * len(some), pa.int32()), *[pa.array(c, pa.int64()) for c in zip(*some, strict=True)]], ["q", "r", "begin", "m"])
 
     queues = spark.range(len(totals)).select(F.col("id").cast("int").alias("q")).repartition(parts(spark), "q")
-    sent = queues.mapInArrow(counts, "q int, r long, begin long, m long")
+    sent = queues.mapInArrow(tidy(counts), "q int, r long, begin long, m long")
     sent = cut(sent.repartitionByRange(parts(spark), "r", "q").withColumn("part", F.spark_partition_id()))
     sums = sent.groupBy("part").agg(F.sum("m").alias("sum"))
     ahead = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("ahead"))  # a row for each part
@@ -225,7 +225,7 @@ def _joined(t: DataFrame, placed: DataFrame, totals: list[int], weights: list[in
         take = pa.array(which, pa.int64())
         return pa.record_batch([b.column("k").take(take), *columns, b.column("s").take(take)], ["k", "start", "length", "crc", "n", "seq", "off", "s"])
 
-    return t.select("row", "k", "s", "z").join(listed, "row").select("k", "s", "z", "pieces").mapInArrow(pieces, shape)
+    return t.select("row", "k", "s", "z").join(listed, "row").select("k", "s", "z", "pieces").mapInArrow(tidy(pieces), shape)
 
 
 def _named(out: DataFrame, key: str) -> DataFrame:

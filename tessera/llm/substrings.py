@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, cut, delete, packed, parts, release, scratch, slices, small_batches, word_bounds
+from .common import SPACE_WORDS, cut, delete, packed, parts, release, scratch, slices, small_batches, tidy, word_bounds
 from .windows import SLICE, Spec, cut_out, highest, lowest, trigger_rows, union, window_rows
 
 #: Windows of 20 words, triggers from 14 places of 7 words; runs of one level that are compacted into one of the next.
@@ -263,7 +263,7 @@ def byte_runs(docs: DataFrame, runs: DataFrame, key: str = "doc_id", text: str =
 
     gone = runs.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("gone"))  # one text's runs
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null").join(gone, "k")
-    return texts.mapInArrow(rows, f"k {dict(docs.dtypes)[key]}, a long, b long")
+    return texts.mapInArrow(tidy(rows), f"k {dict(docs.dtypes)[key]}, a long, b long")
 
 
 def without_bytes(docs: DataFrame, runs: DataFrame, digest: bool, key: str = "doc_id", text: str = "text") -> DataFrame:

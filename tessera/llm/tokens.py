@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, trim
+from .common import slices, small_batches, tidy, trim
 
 
 def _byte_characters() -> dict[int, str]:
@@ -182,5 +182,5 @@ def token_rows(docs: DataFrame, path: str, end: int, keep: list[str], text: str
             trim()
 
     schema = ", ".join(f"{o} {kinds[k]}" for o, k in zip(own, keep, strict=True)) + ", h long, n long, z binary"
-    rows = docs.select(*[F.col(k).alias(o) for o, k in zip(own, keep, strict=True)], F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(encoded, schema)
+    rows = docs.select(*[F.col(k).alias(o) for o, k in zip(own, keep, strict=True)], F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t")).mapInArrow(tidy(encoded), schema)
     return rows.select(*[F.col(o).alias(k) for o, k in zip(own, keep, strict=True)], "h", "n", "z")

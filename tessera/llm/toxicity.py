@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, packed, run_hash, prefix_hash, BYTE_UNITS, slices, small_batches, word_bounds
+from .common import BYTE_UNITS, LOWER, packed, prefix_hash, run_hash, slices, small_batches, tidy, word_bounds
 
 #: Bound on the labelled documents that models are fitted to, features kept for each category, and folds.
 SAMPLE, FEATURES, FOLDS = 12_000, 200, 5
@@ -139,7 +139,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ke
     n = total["n"]
     if not n:
         return Chain(names, np.zeros(0, np.uint64), [np.zeros(c) for c in range(len(names))], [-35.0] * len(names), [CUTS[1]] * len(names))
-    counts = sample.mapInArrow(listed, f"f long, {kinds}").groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ys]).where("n >= 3")
+    counts = sample.mapInArrow(tidy(listed), f"f long, {kinds}").groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ys]).where("n >= 3")
     best = None
     scores = []
     for c in ys:
@@ -163,7 +163,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ke
                 yield pa.record_batch([b.column("k"), *[b.column(c) for c in ys], lists], ["k", *ys, "idx"])
 
     kind = dict(docs.dtypes)[key]
-    rows = sample.mapInArrow(seen, f"k {kind}, {kinds}, idx array<int>").select(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(FOLDS)).alias("fold"), *ys, "idx").toArrow()
+    rows = sample.mapInArrow(tidy(seen), f"k {kind}, {kinds}, idx array<int>").select(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(FOLDS)).alias("fold"), *ys, "idx").toArrow()
     lists = rows.column("idx").combine_chunks()
     size = np.asarray(pc.list_value_length(lists))
     idx, doc = np.asarray(lists.flatten()).astype(np.int64), np.repeat(np.arange(len(size)), size)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_UNITS, SPACE_WORDS, mix, packed, prefix_hash, run_hash, slices, small_batches, word_bounds, word_hashes
+from .common import BYTE_UNITS, SPACE_WORDS, mix, packed, prefix_hash, run_hash, slices, small_batches, tidy, word_bounds, word_hashes
 
 #: Starts handled at a time inside one text, and low bits of a trigger's sort key that hold its place.
 RUN, PLACE = 1 << 18, np.uint64((1 << 28) - 1)
@@ -92,7 +92,7 @@ def trigger_rows(docs: DataFrame, spec: Spec, key: str = "doc_id", text: str = "
                     yield pa.record_batch([s.column("k").take(pa.array(doc)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(pack_at(q, a, b))], ["k", "g", "c", "at"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"k {kind}, g long, c long, at long")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidy(rows), f"k {kind}, g long, c long, at long")
 
 
 def window_rows(docs: DataFrame, wanted: DataFrame, spec: Spec, extra: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,7 +127,7 @@ def window_rows(docs: DataFrame, wanted: DataFrame, spec: Spec, extra: list[str]
 
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
     schema = ", ".join([f"k {kinds['k']}", "g long", *[f"{c} {kinds[c]}" for c in extra], "h long", "start long"])
-    return texts.join(asked, "k").select("k", "t", "asked").mapInArrow(rows, schema)
+    return texts.join(asked, "k").select("k", "t", "asked").mapInArrow(tidy(rows), schema)
 
 
 def cut_out(docs: DataFrame, runs: DataFrame, handle: Callable, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +153,7 @@ def cut_out(docs: DataFrame, runs: DataFrame, handle: Callable, schema: str, key
 
     left = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(others)], F.col(key).alias("_k"), F.col(text).alias("_t"))
     both = left.join(gone.select(F.col("k").alias("_k"), F.col("gone").alias("_gone")), "_k", "left").drop("_k")
-    out = both.mapInArrow(rows, ", ".join([*[f"_{i} {kinds[c]}" for i, c in enumerate(others)], schema]))
+    out = both.mapInArrow(tidy(rows), ", ".join([*[f"_{i} {kinds[c]}" for i, c in enumerate(others)], schema]))
     return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], *names)
 
 
