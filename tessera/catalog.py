@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import counts, features, fitted, models, more, results, tabular, weights
+from .plans import choice, counts, features, fitted, learners, models, more, results, tabular, weights
 from .plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "counts", "features", "fitted", "models", "more", "results", "tabular", "weights"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "choice", "counts", "features", "fitted", "learners", "models", "more", "results", "tabular", "weights"]
 
 FLAGSHIP = "feature_portfolio"

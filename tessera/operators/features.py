@@ -20,9 +20,9 @@ def class_moments(m: DataFrame) -> DataFrame:
 def anova_f(m: DataFrame) -> DataFrame:
     """One-way ANOVA F for each feature; null where the classes have no spread."""
     c = class_moments(m)
-    g = c.groupBy("f").agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("var")).alias("ssw"))
+    g = c.groupBy("f").agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("mu")) / F.nullif(F.sum("n"), F.lit(0).cast("long"))).alias("grand"), F.sum(F.col("n") * F.col("var")).alias("ssw"))
     between = c.join(g, "f").groupBy("f").agg(F.sum(c["n"] * (F.col("mu") - F.col("grand")) ** 2).alias("ssb"))
-    return g.join(between, "f").select("f", ((F.col("ssb") / (F.col("k") - 1)) / F.nullif(F.col("ssw") / (F.col("n") - F.col("k")), F.lit(0.0))).alias("score"))
+    return g.join(between, "f").select("f", ((F.col("ssb") / F.nullif(F.col("k") - 1, F.lit(0).cast("long"))) / F.nullif(F.col("ssw") / F.nullif(F.col("n") - F.col("k"), F.lit(0).cast("long")), F.lit(0.0))).alias("score"))
 
 
 def chi_square(m: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def weighted_snr(m: DataFrame, positive: Column) -> DataFrame:
     )
     c = c.withColumn("sd", F.sqrt((1 - F.col("w")) * F.col("s0") + F.col("w") * F.col("s1")))
     floor = c.agg((F.median("sd") * 1e-3).alias("floor"))
-    return c.crossJoin(F.broadcast(floor)).select("f", (F.abs(F.col("m1") - F.col("m0")) / F.greatest("sd", "floor")).alias("score"))  # one row
+    return c.crossJoin(F.broadcast(floor)).select("f", (F.abs(F.col("m1") - F.col("m0")) / F.greatest(F.col("sd"), F.col("floor"), F.lit(1e-12))).alias("score"))  # one row
 
 
 def welch_t(m: DataFrame, positive: Column) -> DataFrame:
@@ -108,10 +108,50 @@ def variance_filter(m: DataFrame, threshold: float) -> DataFrame:
     return v.withColumn("any", F.max(F.col("var") > threshold).over(Window.partitionBy())).where(~F.col("any") | (F.col("var") > threshold)).select("f", "var")
 
 
+#: Features of a block of products.
+BLOCK = 256
+
+
+def wide(m: DataFrame, value: str = "v") -> tuple[DataFrame, list[int]]:
+    """(row_id, label, x): x an array in the order of the features, null where a row lacks one; and the features."""
+    features = [r.f for r in m.select("f").distinct().orderBy("f").collect()]
+    place = {f: i for i, f in enumerate(features)}
+    spot = F.create_map(*[F.lit(v) for pair in place.items() for v in pair])[F.col("f")]
+    rows = m.groupBy("row_id", "label").agg(F.map_from_entries(F.collect_list(F.struct(spot.alias("i"), F.col(value).alias("v")))).alias("c"))  # one row's cells
+    return rows.select("row_id", "label", F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.col("c")[i]).alias("x")), features
+
+
 def correlations(m: DataFrame) -> DataFrame:
-    """Pearson r of every pair of features a < b of a pruned pool."""
-    a, b = m.select("row_id", F.col("f").alias("a"), F.col("v").alias("va")), m.select("row_id", F.col("f").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "row_id").where("a < b").groupBy("a", "b").agg(F.corr("va", "vb").alias("r"))
+    """(a, b, r): Pearson's r of every two features a < b on the rows that have both, by sums of products: each task adds up its
+    rows' blocks, and only the sums are shuffled. Null where a side is flat."""
+    means = {r.f: r.v or 0.0 for r in m.groupBy("f").agg(F.avg("v").alias("v")).collect()}  # one number for each feature
+    x, features = wide(m)
+    centre = np.array([means[f] for f in features])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.array([[np.nan if v is None else v for v in r] for r in b.column("x").to_pylist()], float) for b in batches if b.num_rows]
+        if not rows:
+            return
+        x = np.concatenate(rows) - centre
+        has = ~np.isnan(x)
+        x, has = np.where(has, x, 0.0), has.astype(float)
+        p = len(features)
+        for lo in range(0, p, BLOCK):
+            for hi in range(lo, p, BLOCK):
+                i, j = slice(lo, lo + BLOCK), slice(hi, hi + BLOCK)
+                parts = [has[:, i].T @ has[:, j], x[:, i].T @ has[:, j], has[:, i].T @ x[:, j], (x[:, i] ** 2).T @ has[:, j], has[:, i].T @ x[:, j] ** 2, x[:, i].T @ x[:, j]]
+                a, b = np.meshgrid(np.arange(p)[i], np.arange(p)[j], indexing="ij")
+                keep = a < b
+                names = np.array(features)
+                yield pa.record_batch([pa.array(names[a[keep]]), pa.array(names[b[keep]]), *[pa.array(s[keep]) for s in parts]], ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    sums = x.select("x").mapInArrow(products, "a long, b long, n double, sa double, sb double, saa double, sbb double, sab double")
+    g = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.nullif("n", F.lit(0.0))
+    va, vb = F.col("saa") - F.col("sa") ** 2 / n, F.col("sbb") - F.col("sb") ** 2 / n
+    spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
+    r = (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.nullif(spread, F.lit(0.0))
+    return g.select("a", "b", F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))  # greatest() skips null
 
 
 def uncorrelated(m: DataFrame, threshold: float) -> DataFrame:
@@ -149,7 +189,7 @@ def relief(m: DataFrame, k: int) -> DataFrame:
     near = distances(m).withColumn("rk", F.row_number().over(Window.partitionBy("i", "lj").orderBy("d", "j"))).where(F.col("rk") <= k)
     prior = m.select("row_id", "label").distinct().groupBy("label").agg((F.count("*") / F.sum(F.count("*")).over(Window.partitionBy())).alias("p"))
     near = near.join(F.broadcast(prior.select(F.col("label").alias("lj"), F.col("p").alias("pj"))), "lj").join(F.broadcast(prior.select(F.col("label").alias("li"), F.col("p").alias("pi"))), "li")
-    weight = F.when(F.col("li") == F.col("lj"), F.lit(-1.0)).otherwise(F.col("pj") / (1 - F.col("pi"))) / k
+    weight = F.when(F.col("li") == F.col("lj"), F.lit(-1.0)).otherwise(F.col("pj") / F.nullif(1 - F.col("pi"), F.lit(0.0))) / k
     near = near.select("i", "j", weight.alias("w"))
     span = m.groupBy("f").agg((F.max("v") - F.min("v")).alias("span"))
     a, b = m.select(F.col("row_id").alias("i"), "f", F.col("v").alias("vi")), m.select(F.col("row_id").alias("j"), "f", F.col("v").alias("vj"))
@@ -161,11 +201,11 @@ def shrunken_centroids(m: DataFrame) -> DataFrame:
     """d = (class mean - mean) / (m_k (s + s0)): s the pooled deviation, s0 its median, m_k = sqrt(1/n_k - 1/n)."""
     c = class_moments(m)
     w = Window.partitionBy("f")
-    c = c.withColumns({"total": F.sum("n").over(w), "classes": F.count("*").over(w), "grand": F.sum(F.col("n") * F.col("mu")).over(w) / F.sum("n").over(w)})
-    c = c.withColumn("s", F.sqrt(F.sum(F.col("n") * F.col("var")).over(w) / (F.col("total") - F.col("classes"))))
+    c = c.withColumns({"total": F.sum("n").over(w), "classes": F.count("*").over(w), "grand": F.sum(F.col("n") * F.col("mu")).over(w) / F.nullif(F.sum("n").over(w), F.lit(0).cast("long"))})
+    c = c.withColumn("s", F.sqrt(F.sum(F.col("n") * F.col("var")).over(w) / F.nullif(F.col("total") - F.col("classes"), F.lit(0).cast("long"))))
     s0 = c.select("f", "s").distinct().agg(F.median("s").alias("s0"))
-    size = F.sqrt(1 / F.col("n") - 1 / F.col("total"))
-    return c.crossJoin(F.broadcast(s0)).select("f", "label", ((F.col("mu") - F.col("grand")) / (size * (F.col("s") + F.col("s0")))).alias("d"))  # one row
+    size = F.sqrt(1 / F.nullif(F.col("n"), F.lit(0).cast("long")) - 1 / F.nullif(F.col("total"), F.lit(0).cast("long")))
+    return c.crossJoin(F.broadcast(s0)).select("f", "label", ((F.col("mu") - F.col("grand")) / F.nullif(size * (F.col("s") + F.col("s0")), F.lit(0.0))).alias("d"))  # one row
 
 
 def _middle(x: np.ndarray) -> float | None:

@@ -17,16 +17,16 @@ def class_scores(train: DataFrame, test: DataFrame, rule: str) -> DataFrame:
     nb: minus the Gaussian log density with the prior; variances get 1e-9 of the largest added. centroid: distance."""
     c = class_moments(train).select("f", F.col("label").alias("class"), "n", "mu", "var")
     c = c.withColumn("floor", 1e-9 * F.max("var").over(Window.partitionBy()))
-    per = c.groupBy("class").agg(F.any_value("n").alias("nk"), F.count("*").alias("d"), F.sum(F.col("var") * F.col("n") / (F.col("n") - 1)).alias("trace")).withColumn("prior", F.col("nk") / F.sum("nk").over(Window.partitionBy()))
+    per = c.groupBy("class").agg(F.max("n").alias("nk"), F.count("*").alias("d"), F.sum(F.col("var") * F.col("n") / F.nullif(F.col("n") - 1, F.lit(0).cast("long"))).alias("trace")).withColumn("prior", F.col("nk") / F.sum("nk").over(Window.partitionBy()))
     gap = (F.col("v") - F.col("mu")) ** 2
     var = F.col("var") + F.col("floor")
     joined = test.join(F.broadcast(c), "f")  # features times classes
-    sums = joined.groupBy("row_id", "label", "class").agg(F.sum(gap).alias("dist"), F.sum(0.5 * F.ln(2 * F.lit(math.pi) * var) + gap / (2 * var)).alias("nll"))
+    sums = joined.groupBy("row_id", "label", "class").agg(F.sum(gap).alias("dist"), F.sum(0.5 * F.ln(2 * F.lit(math.pi) * var) + gap / F.nullif(2 * var, F.lit(0.0))).alias("nll"))
     j = sums.join(F.broadcast(per), "class")
     score = {
         "centroid": F.col("dist"),
-        "dbda": F.col("dist") - F.col("trace") / F.col("nk"),
-        "gqda": F.col("d") * F.col("dist") / F.col("trace") + F.col("d") * F.ln("trace") - F.col("d") / F.col("nk"),
+        "dbda": F.col("dist") - F.coalesce("trace", F.lit(0.0)) / F.col("nk"),
+        "gqda": F.col("d") * F.col("dist") / F.nullif("trace", F.lit(0.0)) + F.col("d") * F.ln("trace") - F.col("d") / F.col("nk"),
         "nb": F.col("nll") - F.ln("prior"),
     }[rule]
     return j.select("row_id", "label", "class", score.alias("score"))

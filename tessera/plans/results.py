@@ -55,7 +55,7 @@ DETECT = f"""{PAIRS}, rr as (select rank() over (order by ba)+(count(*) over (pa
  g1 as (select 'size_correlation' detector, corr(ra,rb) as value, count(*) >= 6 and abs(corr(ra,rb)) >= 0.6 flagged from rr),
  g2 as (select 'tier_imbalance', avg(delta) filter (tier='hard')-least(avg(delta) filter (tier='easy'),avg(delta) filter (tier='medium')), avg(delta) filter (tier='hard')>0 and (avg(delta) filter (tier='easy')<0 or avg(delta) filter (tier='medium')<0) and avg(delta) filter (tier='hard')-least(avg(delta) filter (tier='easy'),avg(delta) filter (tier='medium'))>=0.03 from pairs),
  g3 as (select 'threshold_hugging', max(s), bool_or(n>=5 and s>=0.5) from (select tier, count(*) n, avg(case when abs(delta-case tier when 'easy' then -0.02 when 'medium' then -0.05 else 0 end)<=0.002 then 1.0 else 0.0 end) s from pairs group by tier)),
- g4 as (select 'seed_variance', median(sd), median(sd) > 0.03 from (select dataset, stddev_pop(cand) sd from pairs group by dataset)),
+ g4 as (select 'seed_variance', max(sd), max(sd) > 0.03 from (select dataset, stddev_pop(cand) sd from pairs group by dataset)),
  u as (select dataset, sum(greatest(delta,0)) up from pairs group by dataset), v as (select up, row_number() over (order by up desc, dataset) rk, count(*) over () n from u),
  g5 as (select 'bellwether', sum(up) filter (rk <= ceil(0.2*n))/nullif(sum(up),0), coalesce(sum(up) filter (rk <= ceil(0.2*n))/nullif(sum(up),0)>=0.7,false) from v),
  det as (select * from g1 union all select * from g2 union all select * from g3 union all select * from g4 union all select * from g5)"""
@@ -73,7 +73,7 @@ def gaming_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(F.col("tier") == "easy", -0.02).when(F.col("tier") == "medium", -0.05).otherwise(0.0)
     hug = p.groupBy("tier").agg(F.count("*").alias("n"), F.avg((F.abs(F.col("delta") - line) <= 0.002).cast("double")).alias("s")).agg(F.max("s").alias("s"), F.bool_or((F.col("n") >= 5) & (F.col("s") >= 0.5)).alias("x"))
     hugging = hug.select(F.lit("threshold_hugging"), "s", "x")
-    seeds = p.groupBy("dataset").agg(F.stddev_pop("cand").alias("sd")).agg(F.median("sd").alias("sd")).select(F.lit("seed_variance"), "sd", F.col("sd") > 0.03)
+    seeds = p.groupBy("dataset").agg(F.stddev_pop("cand").alias("sd")).agg(F.max("sd").alias("sd")).select(F.lit("seed_variance"), "sd", F.col("sd") > 0.03)
     up = p.groupBy("dataset").agg(F.sum(F.greatest("delta", F.lit(0.0))).alias("up")).withColumn("rk", F.row_number().over(Window.orderBy(F.col("up").desc(), "dataset"))).withColumn("n", F.count("*").over(Window.partitionBy()))
     share = up.agg((F.sum(F.when(F.col("rk") <= F.ceil(0.2 * F.col("n")), F.col("up"))) / F.nullif(F.sum("up"), F.lit(0.0))).alias("s"))
     bell = share.select(F.lit("bellwether"), "s", F.coalesce(F.col("s") >= 0.7, F.lit(False)))
