@@ -43,7 +43,7 @@ def _covered(judged: DataFrame, texts: DataFrame, spec: Spec, earlier: bool, key
     single = cut(window_rows(texts, wanted, spec, ["new", "many"], key, text))
     release(spark)
     one = F.struct("new", "k", "start")
-    equal = cut(single.groupBy("g", "h").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last").select("g", "h", "first"))
+    equal = cut(single.groupBy("g", "h").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last").select("g", "h", *(["first"] if earlier else [])))
     shared = single.where("new" if earlier else "not many").join(equal, ["g", "h"])
     shared = (shared.where(one != F.col("first")) if earlier else shared).select("k", F.col("start").alias("a"), (F.col("start") + spec.window).alias("b"))
     out = cut(whole.union(shared))
