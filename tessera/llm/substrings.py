@@ -40,13 +40,16 @@ def _covered(judged: DataFrame, texts: DataFrame, spec: Spec, earlier: bool, key
     # aggregates are cut before they are joined, since only a join of two plain shuffles can split a hot key's rows
     heads = cut(classes.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("last.new").alias("any")).where("lo <> hi and any").select("g"))
     wanted = classes.join(heads, "g", "left_semi").select("first.k", "g", "first.at", "first.new", many.alias("many"))
-    single = cut(window_rows(texts, wanted, spec, ["new", "many"], key, text))
+    path = scratch(spark, "windows")  # compressed, unlike a checkpoint
+    window_rows(texts, wanted, spec, ["new", "many"], key, text).write.option("compression", "zstd").parquet(path)
+    single = spark.read.parquet(path)
     release(spark)
     one = F.struct("new", "k", "start")
     equal = cut(single.groupBy("g", "h").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first <> last").select("g", "h", *(["first"] if earlier else [])))
     shared = single.where("new" if earlier else "not many").join(equal, ["g", "h"])
     shared = (shared.where(one != F.col("first")) if earlier else shared).select("k", F.col("start").alias("a"), (F.col("start") + spec.window).alias("b"))
     out = cut(whole.union(shared))
+    delete(spark, path)
     release(spark)
     return out
 
