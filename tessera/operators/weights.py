@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import avg_rank
 
-ALL = Window.partitionBy()
-
 # Factors of oracles by the tier of a dataset; tiers and oracles that aren't named keep their weight.
 TIER_FACTORS = {
     "easy": {"stability": 1.25, "diversity": 0.80, "robustness": 0.90, "complexity": 0.95},
@@ -31,9 +29,9 @@ def temperature(rows: DataFrame, value: str, gamma: float = 1.0, tie: float = 0.
 def james_stein(weights: DataFrame, weight: str, effective_n: float) -> DataFrame:
     """weights with `shrunk`: each weight drawn to the mean by the positive part of 1 - (k - 3) s2 / ss, with s2 bounded by
     0.25 / n inside [0, 1] and by 1 / n elsewhere. Up to two weights stay as they are, equal ones become the mean."""
-    mean, k = F.avg(weight).over(ALL), F.count("*").over(ALL)
-    ss = k * F.var_pop(weight).over(ALL)
-    unit = (F.min(weight).over(ALL) >= -1e-12) & (F.max(weight).over(ALL) <= 1 + 1e-12)
+    mean, k = F.avg(weight).over(Window.partitionBy()), F.count("*").over(Window.partitionBy())
+    ss = k * F.var_pop(weight).over(Window.partitionBy())
+    unit = (F.min(weight).over(Window.partitionBy()) >= -1e-12) & (F.max(weight).over(Window.partitionBy()) <= 1 + 1e-12)
     s2 = F.when(unit, 0.25).otherwise(1.0) / max(1.0, effective_n)
     keep = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (k - 3) * s2 / F.greatest(ss, F.lit(1e-12))))
     return weights.withColumn("shrunk", F.when(k <= 2, F.col(weight)).when(ss <= 1e-12, mean).otherwise(mean + keep * (F.col(weight) - mean)))
@@ -42,8 +40,8 @@ def james_stein(weights: DataFrame, weight: str, effective_n: float) -> DataFram
 def towards_uniform(weights: DataFrame, weight: str, prior_strength: float, folds: int) -> DataFrame:
     """weights with `shrunk`: (1 - l) w + l / k with l = prior / (prior + folds) up to 0.95, summing to 1."""
     l = min(0.95, max(0.0, prior_strength / (prior_strength + folds)))
-    mixed = (1 - l) * F.col(weight) + l / F.count("*").over(ALL)
-    return weights.withColumn("shrunk", mixed).withColumn("shrunk", F.col("shrunk") / F.nullif(F.sum("shrunk").over(ALL), F.lit(0.0)))
+    mixed = (1 - l) * F.col(weight) + l / F.count("*").over(Window.partitionBy())
+    return weights.withColumn("shrunk", mixed).withColumn("shrunk", F.col("shrunk") / F.nullif(F.sum("shrunk").over(Window.partitionBy()), F.lit(0.0)))
 
 
 def redundancy_penalty(scores: DataFrame, oracles: list[str]) -> DataFrame:
@@ -63,7 +61,7 @@ def portfolio_size(weights: DataFrame, weight: str, least: int, most: int, mass:
     the two (half to even) within [least, most] and the number of candidates. Without any weight both are null."""
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
     down = Window.orderBy(F.col("w").desc(), "share")
-    s = weights.select(w.alias("w")).withColumn("share", F.col("w") / F.nullif(F.sum("w").over(ALL), F.lit(0.0)))
+    s = weights.select(w.alias("w")).withColumn("share", F.col("w") / F.nullif(F.sum("w").over(Window.partitionBy()), F.lit(0.0)))
     s = s.withColumn("rk", F.row_number().over(down)).withColumns({"upto": F.round(F.sum("share").over(Window.orderBy("rk")), 12), "drop": F.round(F.col("share") - F.lead("share").over(Window.orderBy("rk")), 12)})
     g = s.agg(F.count("*").alias("n"), F.min(F.when(F.col("upto") >= mass, F.col("rk"))).alias("k_mass"), F.coalesce(F.min_by("rk", F.when(F.col("drop").isNotNull(), F.struct(-F.col("drop"), "rk"))), F.lit(1)).alias("k_elbow"))
     target = F.bround((F.col("k_mass") + F.col("k_elbow")) * 0.5).cast("long")
@@ -73,12 +71,12 @@ def portfolio_size(weights: DataFrame, weight: str, least: int, most: int, mass:
 def prior_floor(weights: DataFrame, weight: str, marked: Column, floor: float) -> DataFrame:
     """weights with `prior`: shares that sum to 1, of which the marked candidates hold at least `floor`; what they lack is
     taken from the others in proportion, and dealt to them in proportion (evenly where they hold nothing)."""
-    n = F.count("*").over(ALL)
+    n = F.count("*").over(Window.partitionBy())
     w = F.coalesce(F.col(weight), F.lit(0.0))
-    total = F.sum(w).over(ALL)
+    total = F.sum(w).over(Window.partitionBy())
     p = weights.withColumn("_p", F.when(total <= 1e-12, 1 / n).otherwise(w / F.nullif(total, F.lit(0.0)))).withColumn("_m", marked)
-    held = F.coalesce(F.sum(F.when(F.col("_m"), F.col("_p"))).over(ALL), F.lit(0.0))
-    count = F.count_if("_m").over(ALL)
+    held = F.coalesce(F.sum(F.when(F.col("_m"), F.col("_p"))).over(Window.partitionBy()), F.lit(0.0))
+    count = F.count_if("_m").over(Window.partitionBy())
     rest = 1 - held
     shift = F.least(F.lit(floor) - held, rest)
     raised = F.when(held <= 1e-12, shift / F.greatest(count, F.lit(1))).otherwise(F.col("_p") + shift * F.col("_p") / F.nullif(held, F.lit(0.0)))
@@ -131,8 +129,8 @@ def power_indices(values: DataFrame, oracles: list[str]) -> DataFrame:
     gain = F.col("after") - F.col("value")
     g = joined.groupBy("oracle").agg(F.sum(share * gain).alias("shapley"), F.avg(gain).alias("banzhaf"))
     for c in ("shapley", "banzhaf"):
-        least = F.least(F.lit(0.0), F.min(c).over(ALL))
-        total = F.sum(c).over(ALL) - k * least
+        least = F.least(F.lit(0.0), F.min(c).over(Window.partitionBy()))
+        total = F.sum(c).over(Window.partitionBy()) - k * least
         g = g.withColumn(f"{c}_weight", F.when(F.abs(total) <= 1e-12, 1.0 / k).otherwise((F.col(c) - least) / F.nullif(total, F.lit(0.0))))
     return g
 
