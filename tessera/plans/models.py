@@ -161,12 +161,12 @@ def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("n").alias("n_rows"), F.col("p").alias("n_features"), r6(ratio).alias("ratio"), F.col("k").alias("n_classes"), r6("h").alias("class_entropy"), regime.alias("regime"))
 
 
-@query("""with c as (select count(*) n, count(*) filter (text is null) a, count(*) filter (lang is null) b, count(*) filter (lang = 'en') c, count(*) filter (source is null) d from documents), u as (select unnest(['text','lang','source']) as col, unnest([a,b,d]) miss, n from c)
- select col, miss as missing, round(miss/n,6)+0.0 as share from u""")
+@query("""with u as (select unnest(['doc_id','text','lang','source','n_chars']) as col, unnest([count(doc_id),count(text),count(lang),count(source),count(n_chars)]) as have, count(*) as n from documents) select col, n-have as missing, round((n-have)/n,6)+0.0 as share from u""")
 def missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = ["text", "lang", "source"]
-    one = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-    return one.unpivot(["n"], cols, "col", "missing").select("col", "missing", r6(F.col("missing") / F.col("n")).alias("share"))
+    """Missing values of every column, in one pass."""
+    d = table(spark, sf_dir, "documents")
+    one = d.agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in d.columns])
+    return one.unpivot(["_n"], d.columns, "col", "missing").select("col", "missing", r6(F.col("missing") / F.nullif(F.col("_n"), F.lit(0).cast("long"))).alias("share"))
 
 
 @query(f"""with {LONG}, r as (select f, label, row_number() over (partition by f order by v, row_id) rk from m), k as (select distinct label from m), a as (select f, k.label, (sum(rk) filter (r.label=k.label)-count(*) filter (r.label=k.label)*(count(*) filter (r.label=k.label)+1)/2.0)/(count(*) filter (r.label=k.label)*count(*) filter (r.label<>k.label)) auc from r, k group by all)

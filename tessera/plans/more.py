@@ -30,23 +30,11 @@ def top_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("row_id", F.col("x.f").alias("f"), (F.col("place") + 1).cast("long").alias("place"))
 
 
-@query(f"""with {LONG}, d as (select a.f, a.row_id i, b.row_id j, (a.v-b.v)^2 d2, case when a.label=b.label then 1.0::double else 0.0::double end l from m a join m b on a.f=b.f where a.f < 2), s as (select f, sqrt(0.5*median(d2) filter (d2 > 0)) s from d group by f),
- k as (select d.f, i, j, exp(-d2/(2*s*s)) k, l from d join s on s.f=d.f), c as (select f, k-avg(k) over (partition by f,i)-avg(k) over (partition by f,j)+avg(k) over (partition by f) kc, l-avg(l) over (partition by f,i)-avg(l) over (partition by f,j)+avg(l) over (partition by f) lc from k)
- select f, round(1000*sum(kc*lc)/(count(*)-2*sqrt(count(*))+1),6)+0.0 as hsic from c group by f""")
-def kernel_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HSIC (times 1000) of features 0 and 1, which is what the SQL's grid of pairs allows: the check of the operator that
-    kernel_screening runs over all features."""
-    return _alignment(matrix(spark, sf_dir).where("f < 2"))
-
-
-@query()
+@query(f"""with {LONG}, d as (select a.f, a.row_id i, (a.v-b.v)^2 d2, case when a.label=b.label then 1.0::double else 0.0::double end l from m a join m b on a.f=b.f), s as (select f, sqrt(0.5*median(d2) filter (d2 > 0)) s from d group by f),
+ r as (select d.f, i, sum(exp(-d2/(2*s*s))*l) kl, sum(exp(-d2/(2*s*s))) k, sum(l) l from d join s on s.f=d.f group by d.f, i) select f, round(1000*(sum(kl)-2*sum(k*l)/count(*)+sum(k)*sum(l)/(count(*)*count(*)))/((count(*)-1)*(count(*)-1)),6)+0.0 as hsic from r group by f""")
 def kernel_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HSIC (times 1000) of every feature's RBF kernel, width by the median rule, with the label kernel, both centred."""
-    return _alignment(matrix(spark, sf_dir))
-
-
-def _alignment(m: DataFrame) -> DataFrame:
-    return FO.hsic(m).select("f", r6(1000 * F.col("hsic")).alias("hsic"))
+    return FO.hsic(matrix(spark, sf_dir)).select("f", r6(1000 * F.col("hsic")).alias("hsic"))
 
 
 @query(f"""with {RUNS}, o as (select 'ba' oracle, a.method i, b.method j, avg(case when abs(a.ba-b.ba) <= 0.0005 then 0.5 when a.ba > b.ba then 1.0 else 0.0 end) p from runs a join runs b using (dataset, seed) where a.method <> b.method group by all
@@ -75,18 +63,11 @@ def knockoff_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.agg(r6(t).alias("threshold"), F.count("*").alias("n_features"))
 
 
-@query(f"""with {LONG}, x as (select row_id, label, list(v order by f) x from m where label = 0 group by all), d as (select a.row_id i, b.row_id j, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1]-z[2])*(z[1]-z[2])))) d from x a join x b on a.row_id <> b.row_id),
- n as (select i, j, row_number() over (partition by i order by d, j) rk from d) select i as row_id, a.f, round((a.v+b.v)/2,6)+0.0 as v from n join m a on a.row_id=i join m b on b.row_id=j and b.f=a.f where rk = 1""")
-def interpolated_minority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic row half-way between each row of class 0, which the SQL names, and its nearest neighbour there;
-    minority_synthesis fills all classes."""
-    m = matrix(spark, sf_dir).where("label = 0")
-    near = FO.distances(m).groupBy("i").agg(F.min_by("j", F.struct("d", "j")).alias("j"))
-    a, b = m.select(F.col("row_id").alias("i"), "f", F.col("v").alias("va")), m.select(F.col("row_id").alias("j"), "f", F.col("v").alias("vb"))
-    return near.join(a, "i").join(b, ["j", "f"]).select(F.col("i").alias("row_id"), "f", r6((F.col("va") + F.col("vb")) / 2).alias("v"))
-
-
-@query()
+@query("""with x as (select vec_id i, cast(label as bigint) as label, list_transform(embedding, lambda e: e::double) x from embeddings), o as (select *, row_number() over (partition by label order by sha256(concat_ws(':', i, 9)), i)-1 pos, count(*) over (partition by label) n from x),
+ c as (select label, n, unnest(range((select max(n) from o)-n)) draw from (select distinct label, n from o)), b as (select c.label, draw, i, x, sha256(concat_ws(':', i, draw, 9)) h from c join o on o.label=c.label and pos=draw%c.n),
+ k as (select a.i, e.i j, e.x y, row_number() over (partition by a.i order by list_sum(list_transform(list_zip(a.x, e.x), lambda z: (z[1]-z[2])*(z[1]-z[2]))), e.i)-1 rk from o a join o e on a.label=e.label and a.i<>e.i),
+ s as (select label, draw, b.i, j, x, y, (('0x'||substr(h,17,16))::ubigint >> 11)::double/9007199254740992 u from b join k on k.i=b.i and rk=('0x'||substr(h,1,16))::ubigint%5)
+ select label, draw, i as row_id, j as neighbour, unnest(range(len(x))) as f, round(unnest(list_transform(list_zip(x, y), lambda z: z[1]+u*(z[2]-z[1]))),6)+0.0 as v from s""")
 def minority_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMOTE: synthetic rows between rows and their 5 nearest neighbours for every class, up to the largest one's size."""
     s = TO.smote(table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long")), "vec_id", "label", "embedding", 5, 9)
@@ -116,23 +97,12 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), (F.round(F.avg("n_chars"), 4) + F.lit(0.0)).alias("mean_chars"))
 
 
-@query(f"""with {LONG}, a as (select row_id, v as x from m where f=0), b as (select row_id, v as y from m where f=1), j as (select least(15, floor((x-min(x) over ())/(max(x) over ()-min(x) over ())*16)) bx, least(15, floor((y-min(y) over ())/(max(y) over ()-min(y) over ())*16)) by_ from a join b using(row_id)),
- c as (select bx, by_, count(*) c from j group by all), k as (select c, sum(c) over () n, sum(c) over (partition by bx) cx, sum(c) over (partition by by_) cy from c), h as (select sum(c/n*ln(c*n/(cx*cy))) mi, -sum(c/n*ln(cx/n)) hx, -sum(c/n*ln(cy/n)) hy from k) select round(mi/least(hx,hy),6)+0.0 as nmi from h""")
-def normalised_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutual information over the smaller entropy of features 0 and 1, the pair that the SQL has, on a grid of 16 equal
-    widths each way; information_pairs has every pair."""
-    m = matrix(spark, sf_dir)
-    j = m.where("f = 0").select("row_id", F.col("v").alias("x")).join(m.where("f = 1").select("row_id", F.col("v").alias("y")), "row_id")
-    w = Window.partitionBy()
-    cell = lambda c: F.least(F.lit(15), F.floor((F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w)) * 16))
-    b = j.select(F.lit(0).alias("f"), cell("x").alias("bin"), cell("y").alias("label"))
-    return FO.information(b).select(r6(F.col("mi") / F.least("hx", "hy")).alias("nmi"))
-
-
-@query()
+@query(f"""with {LONG}, b as (select row_id, f, least(15, floor((v-min(v) over (partition by f))/(max(v) over (partition by f)-min(v) over (partition by f))*16)) x from m), c as (select a.f, b.f g, a.x, b.x y, count(*) c from b a join b on a.row_id=b.row_id and a.f<b.f group by all),
+ k as (select f, g, c, sum(c) over (partition by f, g) n, sum(c) over (partition by f, g, x) cx, sum(c) over (partition by f, g, y) cy from c), h as (select f, g, sum(c/n*ln(c*n/(cx*cy))) mi, -sum(c/n*ln(cx/n)) hx, -sum(c/n*ln(cy/n)) hy from k group by f, g) select f, g, round(mi/least(hx,hy),6)+0.0 as nmi from h""")
 def information_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normalised_information of every two features f < g; 0 where one has a single value. A feature's grid spans all its
-    values; rows without one of the two values are left out of the pair."""
+    """Mutual information over the smaller entropy of every two features f < g, on a grid of 16 equal widths each way; 0 where
+    one has a single value. A feature's grid spans all its values; rows without one of the two values are left out of the
+    pair."""
     m = matrix(spark, sf_dir)
     span = m.groupBy("f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     place = F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 16)

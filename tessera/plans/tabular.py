@@ -203,15 +203,10 @@ def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("region", F.sha2(F.to_json(F.struct("keys")), 256).alias("digest"))
 
 
-@query("""with recursive e as (select distinct user_id % 97 a, cast(user_id % 89 + 1000 as bigint) b from events), und as (select a, b from e union select b, a from e), r(n, c) as (select a, a from und union select und.b, r.c from r join und on und.a=r.n where r.c < und.b)
- select n as node, min(c) as component from r group by n""")
-def identity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of user numbers folded to 97 and 89, small enough for the SQL's recursion: the check of the
-    operator that linked_identities runs over whole ids."""
-    return O.components(table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("a"), (F.col("user_id") % 89 + 1000).alias("b")))
-
-
-@query()
+@query("""with recursive k as (select event_id, 'u' || user_id as k from events union all select event_id, 's' || date_trunc('second', ts) from events),
+ r(event_id, component) using key (event_id) as (select event_id, event_id from events union
+ (with g as (select k, min(r.component) component from recurring.r as r join k using (event_id) group by k), n as (select event_id, min(g.component) component from k join g using (k) group by event_id) select n.event_id, n.component from n join recurring.r as r using (event_id) where n.component < r.component))
+ select event_id, component from r""")
 def linked_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every event, named by its smallest event: events of one user, or of one session (a whole second of
     the clock), belong together, over any number of steps."""
