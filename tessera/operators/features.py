@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import avg_rank
+from .ordered import cumulative
 
 
 def class_moments(m: DataFrame) -> DataFrame:
@@ -37,8 +37,10 @@ def chi_square(m: DataFrame) -> DataFrame:
 
 def auc_binary(m: DataFrame, positive: Column) -> DataFrame:
     """2 * (max(auc, 1 - auc) - 0.5) from average ranks; 0 for a flat feature."""
-    ranked = m.withColumn("rk", avg_rank("v", ["f"])).withColumn("pos", positive.cast("int"))
-    g = ranked.groupBy("f").agg(F.sum(F.col("rk") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.count("*").alias("n"), F.stddev_pop("v").alias("sd"))
+    at = cumulative(m.withColumn("pos", positive.cast("int")), ["f"], "v", c=F.count("*"), pos=F.sum("pos"))
+    rk = F.col("below_c") + (F.col("c") + 1) / 2
+    g = at.groupBy("f").agg(F.sum(rk * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum("c").alias("n"))
+    g = g.join(m.groupBy("f").agg(F.stddev_pop("v").alias("sd")), "f")
     auc = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif((F.col("p") * (F.col("n") - F.col("p"))).cast("double"), F.lit(0.0))
     return g.select("f", F.when(F.col("sd") < 1e-12, 0.0).otherwise(2 * (F.greatest(auc, 1 - auc) - 0.5)).alias("score"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import cumulative
+
 #: Bounds of a batch's scale, and of the quantile grid (fixed values).
 SCALES, CLIP = (0.2, 5.0), (0.01, 0.99)
 
@@ -84,9 +86,8 @@ def apply_quantiles(rows: DataFrame, model: DataFrame) -> DataFrame:
 def fit_ecdf(train: DataFrame) -> DataFrame:
     """(f, v, below, upto, n): for each value of the training rows, how many are below and at or below it. Counts of distinct
     values are summed, not rows."""
-    w = Window.partitionBy("f").orderBy("v")
-    c = train.where("v is not null").groupBy("f", "v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w))
-    return c.select("f", "v", (F.col("upto") - F.col("c")).alias("below"), "upto", F.sum("c").over(Window.partitionBy("f")).alias("n"))
+    c = cumulative(train, ["f"], "v", c=F.count("*"))
+    return c.select("f", "v", F.col("below_c").alias("below"), (F.col("below_c") + F.col("c")).alias("upto"), F.col("all_c").alias("n"))
 
 
 def apply_ecdf(rows: DataFrame, model: DataFrame) -> DataFrame:

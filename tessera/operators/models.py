@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import class_moments
+from .ordered import cumulative, kth, quantile
 
 
 def class_scores(train: DataFrame, test: DataFrame, rule: str) -> DataFrame:
@@ -43,25 +44,24 @@ def softmax_of_negative(scores: DataFrame, scale: Column) -> DataFrame:
 
 
 def conformal_quantile(scores: DataFrame, alpha: float) -> DataFrame:
-    """The ceil((n + 1)(1 - alpha))-th smallest score, by rank."""
-    w = Window.orderBy("s")
-    ranked = scores.withColumns({"rk": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy())})
-    return ranked.where(F.col("rk") == F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))).select(F.col("s").alias("q"))
+    """The ceil((n + 1)(1 - alpha))-th smallest score; null without scores."""
+    k = F.least(F.col("all_n"), F.ceil((F.col("all_n") + 1) * F.lit(1 - alpha)))
+    return cumulative(scores, [], "s", n=F.count("*")).agg(kth("s", k).alias("q"))
 
 
 def conformal_p(scores: DataFrame, nulls: DataFrame) -> DataFrame:
-    """(1 + nulls at or above) / (1 + nulls), from one cumulative count over both."""
-    both = scores.select("f", "score", F.lit(0).alias("is_null")).union(nulls.select(F.lit(None).cast("long"), "score", F.lit(1)))
-    above = F.sum("is_null").over(Window.orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0))
-    n = F.sum("is_null").over(Window.partitionBy())
-    return both.withColumn("p", (1 + above) / (1 + n)).where("is_null = 0").select("f", "score", "p")
+    """(1 + nulls at or above) / (1 + nulls), from one cumulative count over both; null for a null score."""
+    both = scores.select("score", F.lit(0).alias("is_null")).union(nulls.select("score", F.lit(1)))
+    at = cumulative(both, [], "score", nulls=F.sum("is_null"))
+    p = at.select("score", ((1 + F.col("all_nulls") - F.col("below_nulls")) / (1 + F.col("all_nulls"))).alias("p"))
+    return scores.select("f", "score").join(p, "score", "left").select("f", "score", "p")
 
 
 def fit_families(m: DataFrame) -> DataFrame:
     """Closed-form maximum likelihood of normal, exponential, uniform, Laplace and lognormal for each feature: parameters,
     log-likelihood and BIC; families whose support the values leave have none."""
-    w = Window.partitionBy("f")
-    dev = m.withColumn("med", F.median("v").over(w)).groupBy("f").agg(
+    middle = cumulative(m, ["f"], "v", n=F.count("*")).groupBy("f").agg(quantile("v", 0.5).alias("med"))
+    dev = m.join(middle, "f").groupBy("f").agg(
         F.count("v").alias("n"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.any_value("med").alias("med"), F.avg(F.abs(F.col("v") - F.col("med"))).alias("b"),
         F.avg(F.ln(F.when(F.col("v") > 0, F.col("v")))).alias("lmu"), F.stddev_pop(F.ln(F.when(F.col("v") > 0, F.col("v")))).alias("lsd"),
     )

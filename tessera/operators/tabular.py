@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hash_order
+from .ordered import shared_checkpoints
 
 
 def stratified_holdout(rows: DataFrame, row_id: str, label: str, share: float, seed: int) -> DataFrame:
@@ -69,17 +69,6 @@ def center_scale(m: DataFrame) -> DataFrame:
     return m.withColumn("adjusted", (F.col("v") - F.avg("v").over(own)) / F.nullif(sd, F.lit(0.0)) * F.stddev_samp("v").over(all_) + F.avg("v").over(all_))
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only a local session may go without, and gets a folder of its own."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if not folder and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component of edges (a, b). In each round a node and the one
     that its label names take the smallest label around it, then labels jump, until every neighbourhood agrees. Edges

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import features as FO
 from ..operators import models as O
+from ..operators.ordered import cumulative, quantile
 from ..sources.tables import matrix, table
 from .registry import LONG, query, r6
 
@@ -100,26 +101,30 @@ MOMENTS = """select f, count(*) n, avg(v) mu, stddev_samp(v) sd, stddev_pop(v) s
 def distribution_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments, quartiles and L-moments by unbiased probability weights."""
     m = matrix(spark, sf_dir)
-    g = m.groupBy("f").agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"), F.skewness("v").alias("sk"), F.kurtosis("v").alias("ku"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    o = m.withColumns({"i": F.row_number().over(Window.partitionBy("f").orderBy("v")), "n": F.count("*").over(Window.partitionBy("f"))})
-    i, n = F.col("i").cast("double"), F.col("n")
-    l = o.groupBy("f").agg(F.avg("v").alias("b0"), (F.sum((i - 1) / (n - 1) * F.col("v")) / F.any_value("n")).alias("b1"), (F.sum((i - 1) * (i - 2) / ((n - 1) * (n - 2)) * F.col("v")) / F.any_value("n")).alias("b2"))
+    g = m.groupBy("f").agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"), F.skewness("v").alias("sk"), F.kurtosis("v").alias("ku"), F.avg("v").alias("b0"))
+    o = cumulative(m, ["f"], "v", n=F.count("*"))
+    b, c, n = F.col("below_n").cast("double"), F.col("n").cast("double"), F.col("all_n").cast("double")
+    # sums of (i - 1) and of (i - 1)(i - 2) over the places i of equal values
+    one, three = b * c + c * (c - 1) / 2, lambda k: k * (k - 1) * (k - 2) / 3
+    mean = lambda weight: F.sum(weight * F.col("v")) / F.any_value(n)
+    l = o.groupBy("f").agg(mean(one / F.nullif(n - 1, F.lit(0.0))).alias("b1"), mean((three(b + c) - three(b)) / F.nullif((n - 1) * (n - 2), F.lit(0.0))).alias("b2"), *[quantile("v", k / 4).alias(f"q{k}") for k in (1, 2, 3)])
     l2 = 2 * F.col("b1") - F.col("b0")
     five = lambda c: F.round(c, 5) + F.lit(0.0)
     return g.join(l, "f").select(
-        "f", r6("mu").alias("mean"), r6("sd").alias("sd"), five("sk").alias("skew"), five("ku").alias("kurtosis"), *[r6(F.element_at("q", k)).alias(f"q{k}") for k in (1, 2, 3)], r6(l2).alias("l2"), r6((6 * F.col("b2") - 6 * F.col("b1") + F.col("b0")) / l2).alias("l_skew")
+        "f", r6("mu").alias("mean"), r6("sd").alias("sd"), five("sk").alias("skew"), five("ku").alias("kurtosis"), *[r6(f"q{k}").alias(f"q{k}") for k in (1, 2, 3)], r6(l2).alias("l2"), r6((6 * F.col("b2") - 6 * F.col("b1") + F.col("b0")) / F.nullif(l2, F.lit(0.0))).alias("l_skew")
     )
 
 
 @query(f"""with {LONG}, g as (select f, min(v) lo, avg(v)-min(v) sc from m group by f), o as (select m.f, 1-exp(-(v-lo)/sc) u, row_number() over (partition by m.f order by v) i, count(*) over (partition by m.f) n from m join g on g.f=m.f)
  select f, round(max(greatest(i/n-u, u-(i-1)/n)),6)+0.0 as ks, round(1/(12.0*any_value(n))+sum((u-(2*i-1)/(2.0*n))^2),6)+0.0 as cvm from o group by f""")
 def goodness_of_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kolmogorov-Smirnov and Cramer-von Mises statistics against a fitted shifted exponential."""
+    """Kolmogorov-Smirnov and Cramer-von Mises statistics against a fitted shifted exponential; null for a flat feature."""
     m = matrix(spark, sf_dir)
-    w = Window.partitionBy("f")
-    o = m.withColumns({"u": 1 - F.exp(-(F.col("v") - F.min("v").over(w)) / (F.avg("v").over(w) - F.min("v").over(w))), "n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("v"))})
-    i, n, u = F.col("i"), F.col("n"), F.col("u")
-    return o.groupBy("f").agg(r6(F.max(F.greatest(i / n - u, u - (i - 1) / n))).alias("ks"), r6(1 / (12.0 * F.any_value("n")) + F.sum((u - (2 * i - 1) / (2.0 * n)) ** 2)).alias("cvm"))
+    fit = m.groupBy("f").agg(F.min("v").alias("lo"), (F.avg("v") - F.min("v")).alias("scale"))
+    o = cumulative(m, ["f"], "v", n=F.count("*")).join(fit, "f").withColumn("u", 1 - F.exp(-(F.col("v") - F.col("lo")) / F.nullif("scale", F.lit(0.0))))
+    b, c, n, u = F.col("below_n").cast("double"), F.col("n").cast("double"), F.col("all_n").cast("double"), F.col("u")
+    spread = c * (c * c - 1) / (12 * n * n)  # of the places of equal values around their middle
+    return o.groupBy("f").agg(r6(F.max(F.greatest((b + c) / n - u, u - b / n))).alias("ks"), r6(1 / (12.0 * F.any_value(n)) + F.sum(c * (u - (2 * b + c) / (2 * n)) ** 2 + spread)).alias("cvm"))
 
 
 @query(f"""with {LONG}, c as (select f, label, avg(v) mu, var_samp(v) var, min(v) lo, max(v) hi from m group by all), p as (select a.f, a.label a, b.label b, (a.mu-b.mu)^2/nullif(a.var+b.var,0) f1, greatest(0,least(a.hi,b.hi)-greatest(a.lo,b.lo))/nullif(greatest(a.hi,b.hi)-least(a.lo,b.lo),0) ov from c a join c b on a.f=b.f and a.label<b.label),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import tabular as O
+from ..operators.ordered import cumulative
 from ..sources.tables import matrix, table
 from .registry import LONG, query, r6
 
@@ -106,11 +107,10 @@ def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {LONG}, q as (select f, v, count(*) c from m group by all), w as (select f, v, (sum(c) over (partition by f order by v) - c/2.0)/sum(c) over (partition by f) p from q) select row_id, m.f, round(p,6)+0.0 as p from m join w on w.f=m.f and w.v=m.v""")
 def mid_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(less + less or equal) / 2n of every value, from ranks alone."""
-    n = F.count("*").over(Window.partitionBy("f"))
-    same = F.count("*").over(Window.partitionBy("f", "v"))
-    below = F.rank().over(Window.partitionBy("f").orderBy("v")) - 1
-    return matrix(spark, sf_dir).select("row_id", "f", r6((2 * below + same) / (2 * n)).alias("p"))
+    """(less + less or equal) / 2n of every value, from cumulative counts of distinct values; null for a null value."""
+    m = matrix(spark, sf_dir)
+    at = cumulative(m, ["f"], "v", c=F.count("*")).select("f", "v", ((2 * F.col("below_c") + F.col("c")) / (2 * F.col("all_c"))).alias("p"))
+    return m.join(at, ["f", "v"], "left").select("row_id", "f", r6("p").alias("p"))
 
 
 BATCH = f"{LONG}, bm as (select *, row_id % 2 as batch from m)"

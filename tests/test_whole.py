@@ -1,4 +1,4 @@
-"""Whole jobs that have no SQL, against brute force."""
+"""Whole jobs against brute force."""
 
 import math
 from collections import Counter
