@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import nearest, vectors
 from .ordered import cumulative
 
 
@@ -176,19 +177,11 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.orderBy(F.col(score).desc_nulls_last(), F.col("f").desc()).limit(k)
 
 
-def distances(m: DataFrame) -> DataFrame:
-    """Euclidean distance of every two rows i < j (and back), for row counts that a grid of pairs suits."""
-    wide = m.groupBy("row_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("x"))
-    a = wide.select(F.col("row_id").alias("i"), F.col("label").alias("li"), F.col("x").alias("xi"))
-    b = wide.select(F.col("row_id").alias("j"), F.col("label").alias("lj"), F.col("x").alias("xj"))
-    squares = F.aggregate(F.zip_with("xi", "xj", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", "li", "lj", F.sqrt(squares).alias("d"))
-
-
 def relief(m: DataFrame, k: int) -> DataFrame:
     """ReliefF: mean scaled difference to the k nearest rows of each other class, weighted by prior, less that to the
     k nearest of the own class."""
-    near = distances(m).withColumn("rk", F.row_number().over(Window.partitionBy("i", "lj").orderBy("d", "j"))).where(F.col("rk") <= k)
+    x = vectors(m)
+    near = nearest(x, x, k)
     prior = m.select("row_id", "label").distinct().groupBy("label").agg((F.count("*") / F.sum(F.count("*")).over(Window.partitionBy())).alias("p"))
     near = near.join(F.broadcast(prior.select(F.col("label").alias("lj"), F.col("p").alias("pj"))), "lj").join(F.broadcast(prior.select(F.col("label").alias("li"), F.col("p").alias("pi"))), "li")
     weight = F.when(F.col("li") == F.col("lj"), F.lit(-1.0)).otherwise(F.col("pj") / F.nullif(1 - F.col("pi"), F.lit(0.0))) / k

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import features as FO
 from ..operators import models as O
+from ..operators.nearest import nearest, vectors, within
 from ..operators.ordered import cumulative, quantile
 from ..sources.tables import matrix, table
 from .registry import LONG, query, r6
@@ -43,7 +44,8 @@ for _rule in RULES:
  n as (select *, row_number() over (partition by i order by d, j) rk from d), v as (select i, li, lj, count(*) c from n where rk <= 5 group by all) select i as row_id, li as label, arg_min(lj, (-c, lj)) as predicted from v group by all""")
 def classify_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Majority of the five nearest training rows; equal counts by the smaller class. Queries are the test rows alone."""
-    near = FO.distances(matrix(spark, sf_dir)).where("i % 5 = 0 and j % 5 <> 0")
+    x = vectors(matrix(spark, sf_dir))
+    near = nearest(x.where("row_id % 5 = 0"), x.where("row_id % 5 <> 0"), 5)
     near = near.withColumn("rk", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where("rk <= 5")
     votes = near.groupBy(F.col("i").alias("row_id"), F.col("li").alias("label"), "lj").agg(F.count("*").alias("c"))
     return votes.groupBy("row_id", "label").agg(F.min_by("lj", F.struct(-F.col("c"), "lj")).alias("predicted"))
@@ -146,12 +148,16 @@ DIST = "x as (select row_id, label, list(v order by f) x from m group by all), d
  select round((select sum(s)/sum(o) from n),6)+0.0 as n2_ratio, round((select avg(c) from l),6)+0.0 as set_size, round((select avg(m) from e),5)+0.0 as intrinsic_dim""")
 def neighbourhood_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest same over nearest other, mean rows nearer than the nearest enemy, and the Levina-Bickel dimension."""
-    d = FO.distances(matrix(spark, sf_dir))
+    x = vectors(matrix(spark, sf_dir))
     w = Window.partitionBy("i")
-    d = d.withColumns({"same": F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).over(w), "other": F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).over(w), "rk": F.row_number().over(w.orderBy("d", "j"))})
+    d = nearest(x, x, 10).withColumn("rk", F.row_number().over(w.orderBy("d", "j")))
     d = d.withColumn("t", F.max(F.when(F.col("rk") <= 10, F.col("d"))).over(w))
-    g = d.groupBy("i").agg(F.any_value("same").alias("s"), F.any_value("other").alias("o"), F.count_if(F.col("d") < F.col("other")).alias("c"), (1 / F.avg(F.when(F.col("rk") < 10, F.ln(F.col("t") / F.col("d"))))).alias("m"))
-    return g.agg(r6(F.sum("s") / F.sum("o")).alias("n2_ratio"), r6(F.avg("c")).alias("set_size"), (F.round(F.avg("m"), 5) + F.lit(0.0)).alias("intrinsic_dim"))
+    same = F.col("li") == F.col("lj")
+    step = F.ln(F.col("t") / F.nullif("d", F.lit(0.0)))  # an equal row has no part in the dimension
+    g = d.groupBy("i").agg(F.min(F.when(same, F.col("d"))).alias("s"), F.min(F.when(~same, F.col("d"))).alias("o"), (1 / F.nullif(F.avg(F.when(F.col("rk") < 10, step)), F.lit(0.0))).alias("m"))
+    nearer = within(x.join(g.select(F.col("i").alias("row_id"), F.col("o").alias("radius")), "row_id"), x)
+    g = g.join(nearer, "i")
+    return g.agg(r6(F.sum("s") / F.nullif(F.sum("o"), F.lit(0.0))).alias("n2_ratio"), r6(F.avg("c")).alias("set_size"), (F.round(F.avg("m"), 5) + F.lit(0.0)).alias("intrinsic_dim"))
 
 
 @query(f"""with {LONG}, c as (select label, count(distinct row_id) n from m group by label), e as (select count(*) k, sum(n) n, -sum(n/t*ln(n/t))/ln(count(*)) h from (select n, sum(n) over () t from c) group by ()), p as (select count(distinct f) p from m)
