@@ -56,6 +56,8 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
+    if "TESSERA_LEAN" in spark.sparkContext.environment:
+        lean_heaps(spark)
 
 
 def parts(spark: SparkSession) -> int:
@@ -71,15 +73,27 @@ def small_batches(spark: SparkSession) -> None:
 
 def lean_workers(spark: SparkSession) -> None:
     """Python workers that give large freed arrays back to the system at once, for jobs in which workers of several
-    stages are alive side by side."""
+    stages are alive side by side, and executors that start the next stage with a small heap."""
     env = spark.sparkContext.environment
     for name, value in (("MALLOC_MMAP_THRESHOLD_", "262144"), ("MALLOC_TRIM_THRESHOLD_", "262144"), ("MALLOC_ARENA_MAX", "1"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         env[name] = value
     env["TESSERA_LEAN"] = "1"
+    lean_heaps(spark)
+
+
+def lean_heaps(spark: SparkSession) -> None:
+    """Let the executors collect their garbage, after which a JVM gives unused heap back to the system. Otherwise a heap
+    grows to its limit over the stages and stays there, however little of it lives, beside the Python workers.
+
+    A task for each slot, so that every idle executor has some; results don't depend on which executors they reach."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).where("reflect('java.lang.System', 'gc') is not null").count()
 
 
 def trim() -> None:
-    """Give freed memory of this process back to the system, where its C library can."""
+    """Give freed memory of this process back to the system, where its C library can; the powers of the hashes go too,
+    16 bytes for each byte of the longest slice."""
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
