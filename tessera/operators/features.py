@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nearest import nearest, vectors
+from .nearest import blocks, near_blocks, near_rows, vectors, weighted_differences, with_extra
 from .ordered import cumulative
 
 
@@ -177,18 +177,25 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.orderBy(F.col(score).desc_nulls_last(), F.col("f").desc()).limit(k)
 
 
-def relief(m: DataFrame, k: int) -> DataFrame:
+def relief(m: DataFrame, k: int, x: DataFrame | None = None) -> DataFrame:
     """ReliefF: mean scaled difference to the k nearest rows of each other class, weighted by prior, less that to the
-    k nearest of the own class."""
-    x = vectors(m)
-    near = nearest(x, x, k)
-    prior = m.select("row_id", "label").distinct().groupBy("label").agg((F.count("*") / F.sum(F.count("*")).over(Window.partitionBy())).alias("p"))
-    near = near.join(F.broadcast(prior.select(F.col("label").alias("lj"), F.col("p").alias("pj"))), "lj").join(F.broadcast(prior.select(F.col("label").alias("li"), F.col("p").alias("pi"))), "li")
-    weight = F.when(F.col("li") == F.col("lj"), F.lit(-1.0)).otherwise(F.col("pj") / F.nullif(1 - F.col("pi"), F.lit(0.0))) / k
-    near = near.select("i", "j", weight.alias("w"))
+    k nearest of the own class. x: the `vectors` of m, if at hand.
+
+    Blocks are compared twice: for the furthest of the k nearest, then for the differences up to it, which are added up
+    where they are found."""
+    features = [r.f for r in m.select("f").distinct().orderBy("f").collect()]
+    shares = m.select("row_id", "label").distinct().where("label is not null").groupBy(F.col("label").cast("long").alias("label"))
+    count = {r.label: r.n for r in shares.agg(F.count("*").alias("n")).collect()}  # a row for each class
+    classes, n = sorted(count), m.select("row_id", "label").distinct().count()
+    p = np.array([count[c] / n for c in classes])
+    weight = np.array([[-1.0 if a == b else p[b] / (1 - p[a]) for b in range(len(p))] for a in range(len(p))]).reshape(len(p), len(p)) / k
+    rows = blocks(vectors(m) if x is None else x, kept=k * max(1, len(classes)))
+    near = with_extra(rows, near_blocks(rows, rows, k, last=True))
+    sums = weighted_differences(near, rows, classes, weight)
+    some = near_rows(near.where("extra is not null").select("b", F.col("extra").alias("near"))).agg(F.count_distinct("i").alias("n"))
+    at = F.array(*[F.lit(f) for f in features])[F.col("at").cast("int")]
     span = m.groupBy("f").agg((F.max("v") - F.min("v")).alias("span"))
-    a, b = m.select(F.col("row_id").alias("i"), "f", F.col("v").alias("vi")), m.select(F.col("row_id").alias("j"), "f", F.col("v").alias("vj"))
-    d = near.join(a, "i").join(b, ["j", "f"]).groupBy("f").agg(F.sum(F.col("w") * F.abs(F.col("vi") - F.col("vj"))).alias("s"), F.countDistinct("i").alias("n"))
+    d = sums.crossJoin(F.broadcast(some)).select(at.alias("f"), "s", "n")  # one row
     return d.join(span, "f").select("f", (F.col("s") / F.col("n") / F.nullif(F.col("span"), F.lit(0.0))).alias("score"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..operators import features as O
-from ..sources.tables import matrix
+from ..operators.nearest import whole_vectors
+from ..sources.tables import matrix, table
 from .registry import LONG, query, r6
 
 ANOVA = """g as (select f, label, count(v) n, avg(v) mu, var_pop(v) var from m group by all), h as (select f, sum(n) n, count(*) k, sum(n*mu)/sum(n) grand, sum(n*var) ssw from g group by f),
@@ -100,7 +101,7 @@ DIST = "x as (select row_id, label, list(v order by f) x from m group by all), d
  w as (select i, j, (case when li=lj then -1.0 else pj.p/(1-pi.p) end)/5 w from n join p pj on pj.label=lj join p pi on pi.label=li where rk <= 5), s as (select f, max(v)-min(v) span from m group by f)
  select f, round(sum(w*abs(a.v-b.v))/count(distinct i)/nullif(any_value(span),0),6)+0.0 as score from w join m a on a.row_id=i join m b on b.row_id=j and b.f=a.f join s on s.f = a.f group by a.f as f""".replace("select f, round(sum(w", "select a.f as f, round(sum(w").replace("group by a.f as f", "group by a.f"))
 def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.relief(matrix(spark, sf_dir), 5).select("f", r6("score").alias("score"))
+    return O.relief(matrix(spark, sf_dir), 5, whole_vectors(table(spark, sf_dir, "embeddings"))).select("f", r6("score").alias("score"))
 
 
 NSC = """g as (select f, label, count(v) n, avg(v) mu, var_pop(v) var from m group by all), h as (select *, sum(n) over w total, count(*) over w classes, sum(n*mu) over w/sum(n) over w grand, sum(n*var) over w ssw from g window w as (partition by f)),
