@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hash_order
@@ -69,10 +71,34 @@ def center_scale(m: DataFrame) -> DataFrame:
     return m.withColumn("adjusted", (F.col("v") - F.avg("v").over(own)) / F.nullif(sd, F.lit(0.0)) * F.stddev_samp("v").over(all_) + F.avg("v").over(all_))
 
 
+#: Rows of a shuffle's partition, and bytes up to which adaptive execution joins partitions.
+TASK_ROWS, TASK_BYTES = 1 << 18, "4m"
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Shuffles of what runs inside have partitions by the number of rows, which are joined to TASK_BYTES at most, so that a
+    task's sorts and aggregates don't grow with the input."""
+    want = {"spark.sql.shuffle.partitions": str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))), "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES}
+    had = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected component of edges (a, b). In each round a node and the one
     that its label names take the smallest label around it, then labels jump, until every neighbourhood agrees. Edges
     with a null are left out."""
+    with small_tasks(edges.sparkSession, 2 * edges.count()):  # both directions
+        return _components(edges)
+
+
+def _components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").where("a is not null and b is not null")
     both = e.union(e.select("b", "a")).distinct().persist()
     shared_checkpoints(edges.sparkSession)

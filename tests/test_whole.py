@@ -111,3 +111,18 @@ def test_smote_needs_neighbours(spark):
     few = spark.createDataFrame([(i, int(i > 5), [float(i)]) for i in range(8)], "i long, c long, x array<double>")
     with pytest.raises(ValueError):
         TO.smote(few, "i", "c", "x", 5, 1)
+
+
+def test_fold_local_encoding_shuffles_no_text(spark, sf_dir):
+    plan = catalog.QUERIES["fold_local_encoding"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "text#" not in plan.split("LeftOuter")[0]
+
+
+def test_components_run_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(TO, "TASK_ROWS", 10)
+    seen, inner = [], TO._components
+    monkeypatch.setattr(TO, "_components", lambda e: seen.append([spark.conf.get(f"spark.sql.{k}") for k in ("shuffle.partitions", "adaptive.advisoryPartitionSizeInBytes")]) or inner(e))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = TO.linked_rows(spark.createDataFrame([(i, i // 2) for i in range(30)], "id long, x long"), "id", ["x"]).collect()
+    assert seen == [["12", TO.TASK_BYTES]] and spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert {r.id: r.component for r in got} == {i: i // 2 * 2 for i in range(30)}
