@@ -148,9 +148,10 @@ def fold_local_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = d.where(TRAIN)
     levels = train.where("lang is not null").select("lang").distinct().withColumn("code", F.row_number().over(Window.orderBy("lang")))
     fill = train.agg(F.median("n_chars").alias("md"))
+    d = d.select("doc_id", "lang", "n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("text_length"))  # no text is shuffled
     j = d.join(levels, "lang", "left").crossJoin(F.broadcast(fill))  # one row
     code = F.when(F.col("lang").isNull(), -1.0).otherwise(F.coalesce(F.col("code").cast("double"), F.lit(0.0)))
-    return j.select("doc_id", r6(F.coalesce(F.col("n_chars").cast("double"), F.col("md"))).alias("n_chars"), code.alias("lang_code"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("text_length"))
+    return j.select("doc_id", r6(F.coalesce(F.col("n_chars").cast("double"), F.col("md"))).alias("n_chars"), code.alias("lang_code"), "text_length")
 
 
 BUCKET = "cast(('0x' || substr(sha256(word),1,15)) as bigint) % 64"
