@@ -193,7 +193,7 @@ def relief(m: DataFrame, k: int, x: DataFrame | None = None) -> DataFrame:
     near = with_extra(rows, near_blocks(rows, rows, k, last=True))
     sums = weighted_differences(near, rows, classes, weight)
     some = near_rows(near.where("extra is not null").select("b", F.col("extra").alias("near"))).agg(F.count_distinct("i").alias("n"))
-    at = F.array(*[F.lit(f) for f in features])[F.col("at").cast("int")]
+    at = F.get(F.array(*[F.lit(f) for f in features]).cast(f"array<{dict(m.dtypes)['f']}>"), F.col("at").cast("int"))
     span = m.groupBy("f").agg((F.max("v") - F.min("v")).alias("span"))
     d = sums.crossJoin(F.broadcast(some)).select(at.alias("f"), "s", "n")  # one row
     return d.join(span, "f").select("f", (F.col("s") / F.col("n") / F.nullif(F.col("span"), F.lit(0.0))).alias("score"))
